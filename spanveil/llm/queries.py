@@ -1,0 +1,42 @@
+"""The pN_ queries and their SQL."""
+
+from __future__ import annotations
+
+from spanveil.llm import chunking
+from spanveil.plans.session import table
+
+
+def _limits(spark, d, target):
+    return table(spark, d, "size_limits").filter(f"target_table = '{target}'")
+
+
+def p1_found(spark, d):
+    return chunking.oversized(table(spark, d, "labelled_docs"), _limits(spark, d, "labelled_docs"))
+
+
+def p1_pieces(spark, d):
+    return chunking.split_records(table(spark, d, "labelled_docs"), _limits(spark, d, "labelled_docs"))
+
+
+def p1_summary(spark, d):
+    return chunking.split_summary(table(spark, d, "labelled_docs"), _limits(spark, d, "labelled_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_summary)}
+
+RECORD_TEXT = """coalesce(full_text, array_to_string([t || CASE WHEN trailing_whitespace[i] THEN ' ' ELSE '' END FOR t, i IN tokens], ''))"""
+
+SQL = {
+    "p1_found": f"""
+        SELECT DISTINCT limit_id, document FROM labelled_docs, size_limits
+        WHERE target_table = 'labelled_docs'
+          AND ((unit = 'chars' AND length({RECORD_TEXT}) > max_size) OR (unit = 'tokens' AND len(tokens) > max_size))""",
+}
+
+
+def queries():
+    return dict(QUERIES)
+
+
+def oracle_sql():
+    return dict(SQL)
