@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanveil.llm import chunking
+from spanveil.llm import chunking, crosssplit, neardup
 from spanveil.plans.session import table
 
 
@@ -22,7 +22,23 @@ def p1_summary(spark, d):
     return chunking.split_summary(table(spark, d, "labelled_docs"), _limits(spark, d, "labelled_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_summary)}
+def p2_found(spark, d):
+    return crosssplit.cross_split_pairs(table(spark, d, "labelled_docs")).select("document_a", "document_b").distinct()
+
+
+def p2_report(spark, d):
+    return crosssplit.cross_split_report(table(spark, d, "labelled_docs"))
+
+
+def p5_found(spark, d):
+    return neardup.near_duplicate_pairs(table(spark, d, "labelled_docs"))
+
+
+def p5_groups(spark, d):
+    return neardup.near_duplicate_groups(table(spark, d, "labelled_docs"))
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p5_found, p5_groups)}
 
 RECORD_TEXT = """coalesce(full_text, array_to_string([t || CASE WHEN trailing_whitespace[i] THEN ' ' ELSE '' END FOR t, i IN tokens], ''))"""
 
