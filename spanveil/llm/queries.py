@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanveil.llm import chunking, crosssplit, neardup
+from spanveil.llm import chunking, crosssplit, leakage, neardup, packing
 from spanveil.plans.session import table
 
 
@@ -38,7 +38,30 @@ def p5_groups(spark, d):
     return neardup.near_duplicate_groups(table(spark, d, "labelled_docs"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p5_found, p5_groups)}
+def p6_bins(spark, d):
+    return packing.fill(table(spark, d, "documents"), _limits(spark, d, "documents"))
+
+
+def p6_found(spark, d):
+    return packing.oversized(p6_bins(spark, d))
+
+
+def p6_report(spark, d):
+    return packing.fill_report(p6_bins(spark, d), _limits(spark, d, "documents"))
+
+
+def p7_found(spark, d):
+    return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p7_items(spark, d):
+    return leakage.exposed_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p5_found, p5_groups, p6_found, p6_bins, p6_report, p7_found, p7_items)
+}
 
 RECORD_TEXT = """coalesce(full_text, array_to_string([t || CASE WHEN trailing_whitespace[i] THEN ' ' ELSE '' END FOR t, i IN tokens], ''))"""
 
@@ -47,6 +70,10 @@ SQL = {
         SELECT DISTINCT limit_id, document FROM labelled_docs, size_limits
         WHERE target_table = 'labelled_docs'
           AND ((unit = 'chars' AND length({RECORD_TEXT}) > max_size) OR (unit = 'tokens' AND len(tokens) > max_size))""",
+    "p6_found": r"""
+        SELECT limit_id, doc_id FROM size_limits, (
+            SELECT doc_id, len(regexp_extract_all(text, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s\x{0B}\x{1C}-\x{1F}\x{85}\p{Z}]')) AS n FROM documents)
+        WHERE target_table = 'documents' AND n > max_size""",
 }
 
 
