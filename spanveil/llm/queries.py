@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanveil.llm import chunking, crosssplit, leakage, neardup, packing
+from spanveil.llm import chunking, crosssplit, leakage, neardup, packing, truncation
 from spanveil.plans.session import table
 
 
@@ -58,9 +58,17 @@ def p7_items(spark, d):
     return leakage.exposed_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+def p8_found(spark, d):
+    return truncation.truncated(table(spark, d, "documents"))
+
+
+def p8_report(spark, d):
+    return truncation.truncation_report(table(spark, d, "documents"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p5_found, p5_groups, p6_found, p6_bins, p6_report, p7_found, p7_items)
+    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p5_found, p5_groups, p6_found, p6_bins, p6_report, p7_found, p7_items, p8_found, p8_report)
 }
 
 RECORD_TEXT = """coalesce(full_text, array_to_string([t || CASE WHEN trailing_whitespace[i] THEN ' ' ELSE '' END FOR t, i IN tokens], ''))"""
