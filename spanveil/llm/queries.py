@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanveil.llm import chunking, crosssplit, leakage, neardup, packing, truncation
+from spanveil.llm import chunking, crosssplit, leakage, neardup, packing, sampling, truncation
 from spanveil.plans.session import table
 
 
@@ -66,14 +66,50 @@ def p8_report(spark, d):
     return truncation.truncation_report(table(spark, d, "documents"))
 
 
+def p3_found(spark, d):
+    return sampling.unreachable(table(spark, d, "labelled_docs"), table(spark, d, "sample_targets"))
+
+
+def p3_report(spark, d):
+    return sampling.target_report(table(spark, d, "labelled_docs"), table(spark, d, "sample_targets"))
+
+
+def p3_sample(spark, d):
+    return sampling.draw_sample(table(spark, d, "labelled_docs"), table(spark, d, "sample_targets"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p5_found, p5_groups, p6_found, p6_bins, p6_report, p7_found, p7_items, p8_found, p8_report)
+    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p3_found, p3_report, p3_sample, p5_found, p5_groups, p6_found, p6_bins, p6_report, p7_found, p7_items, p8_found, p8_report)
 }
 
 RECORD_TEXT = """coalesce(full_text, array_to_string([t || CASE WHEN trailing_whitespace[i] THEN ' ' ELSE '' END FOR t, i IN tokens], ''))"""
 
+CATEGORY = r"""
+    WITH named AS (
+        SELECT document, i, upper(trim(coalesce(labels[i], 'O'))) AS x
+        FROM (SELECT document, labels, unnest(range(1, len(labels) + 1)) AS i
+              FROM (SELECT document, any_value(labels) AS labels FROM labelled_docs WHERE split = 'train' AND labels IS NOT NULL GROUP BY document))),
+    cut AS (SELECT document, i, x[1] AS t, CASE WHEN x[1] IN ('B', 'I') AND length(x) > 2 THEN trim(x[3:]) ELSE '' END AS l FROM named),
+    spans AS (
+        SELECT document, l FROM (SELECT *, lag(l, 1, '') OVER (PARTITION BY document ORDER BY i) AS before FROM cut)
+        WHERE l <> '' AND (t = 'B' OR l <> before)),
+    best AS (
+        SELECT document, l FROM (
+            SELECT document, l, row_number() OVER (PARTITION BY document ORDER BY count(*) DESC, l) AS k FROM spans GROUP BY document, l) WHERE k = 1),
+    pool AS (
+        SELECT d.document, coalesce(l, 'NO_PII') AS category
+        FROM (SELECT DISTINCT document FROM labelled_docs WHERE split = 'train' AND labels IS NOT NULL) d LEFT JOIN best USING (document)),
+    stock AS (SELECT category, count(*) AS n FROM pool GROUP BY category)"""
+NEEDED = "greatest(min_count, CAST(round(target_share * sample_size) AS BIGINT))"
+
 SQL = {
+    "p3_found": f"""{CATEGORY}
+        SELECT plan_id, category FROM sample_targets LEFT JOIN stock USING (category) WHERE coalesce(n, 0) < {NEEDED}""",
+    "p3_report": f"""{CATEGORY}
+        SELECT plan_id, category, {NEEDED} AS needed, coalesce(n, 0) AS available,
+               least(coalesce(n, 0), {NEEDED}) AS drawn, {NEEDED} - least(coalesce(n, 0), {NEEDED}) AS shortfall
+        FROM sample_targets LEFT JOIN stock USING (category)""",
     "p1_found": f"""
         SELECT DISTINCT limit_id, document FROM labelled_docs, size_limits
         WHERE target_table = 'labelled_docs'
