@@ -48,9 +48,8 @@ def cross_split_pairs(records: DataFrame, threshold: float = THRESHOLD, train: s
     and blank ones too) are in no pair; repeated rows count once.
     """
     feats = stage(overlap.features(records, SHINGLE, band_keys), "crosssplit-features")
-    side = F.coalesce(F.col("split") == train, F.lit(False))
-    members = feats.select("document", "split", "source", "cls", side.alias("in_train")).dropDuplicates(["document", "split", "cls"])
-    sets = stage(overlap.one_per_class(feats), "crosssplit-sets")
+    members, sets = overlap.classes(feats, "crosssplit-sets")
+    members = members.withColumn("in_train", F.coalesce(F.col("split") == train, F.lit(False)))
     has = members.groupBy("cls").agg(F.max("in_train").alias("t"), F.max(~F.col("in_train")).alias("e"))
     keys = sets.join(has, "cls").select("cls", "n", "t", "e", F.explode("keys").alias("key"))
     left, right = keys.filter("t").drop("t", "e"), keys.filter("e").drop("t", "e")

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.llm.textkit import class_of, record_text, shingle_hashes, word_hashes
+from spanveil.plans.session import stage
 
 FEATURES = "document bigint, split string, source string, cls string, n int, shingles array<bigint>, keys array<bigint>"
 
@@ -51,9 +52,16 @@ def features(records: DataFrame, size: int, keys_of: Callable) -> DataFrame:
     return base.filter("document is not null and _text is not null").mapInArrow(batches, FEATURES)
 
 
-def one_per_class(feats: DataFrame) -> DataFrame:
-    """``cls, n, shingles, keys`` of each class."""
-    return feats.groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+def classes(feats: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
+    """Members (``document, split, source, cls``) and one row per class (``cls, n, shingles, keys``), ``cls`` now a number.
+
+    The numbers are given while the classes are written to a table, so they stay the same however often that is read.
+    """
+    one = feats.groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
+    sets = stage(one.select(F.col("cls").alias("name"), F.monotonically_increasing_id().alias("cls"), "n", "shingles", "keys"), what)
+    members = feats.select("document", "split", "source", F.col("cls").alias("name")).distinct()
+    members = members.join(sets.select("name", "cls"), "name").drop("name")
+    return members, sets.drop("name")
 
 
 def prefix_size(n, threshold: float):
