@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from spanveil.llm import chunking, crosssplit, leakage, neardup, packing, sampling, truncation
+from spanveil.llm import chunking, crosssplit, leakage, neardup, packing, pii, sampling, truncation
 from spanveil.plans.session import table
 
 
@@ -78,9 +78,24 @@ def p3_sample(spark, d):
     return sampling.draw_sample(table(spark, d, "labelled_docs"), table(spark, d, "sample_targets"))
 
 
+PSEUDONYM_KEY = "spanveil-demo-key"
+
+
+def p4_found(spark, d):
+    return pii.found(table(spark, d, "labelled_docs"), table(spark, d, "deid_results"))
+
+
+def p4_redacted(spark, d):
+    return pii.redacted(table(spark, d, "labelled_docs"), table(spark, d, "deid_results"))
+
+
+def p4_pseudonyms(spark, d):
+    return pii.redacted(table(spark, d, "labelled_docs"), table(spark, d, "deid_results"), PSEUDONYM_KEY)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p3_found, p3_report, p3_sample, p5_found, p5_groups, p6_found, p6_bins, p6_report, p7_found, p7_items, p8_found, p8_report)
+    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_redacted, p4_pseudonyms, p5_found, p5_groups, p6_found, p6_bins, p6_report, p7_found, p7_items, p8_found, p8_report)
 }
 
 RECORD_TEXT = """coalesce(full_text, array_to_string([t || CASE WHEN trailing_whitespace[i] THEN ' ' ELSE '' END FOR t, i IN tokens], ''))"""
