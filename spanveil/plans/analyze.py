@@ -60,3 +60,36 @@ def by_label(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
     return e.groupBy(key, "label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x.v).alias("values"), F.min("at").alias("first_at")
     )
+
+
+def deidentify(
+    df: DataFrame,
+    policy: str | DataFrame = "ferpa",
+    text: str = "text",
+    policy_name: str | None = None,
+    method=None,
+    model_spans: str | None = None,
+    verify: bool = True,
+    **options,
+) -> DataFrame:
+    """Detect and transform.
+
+    ``policy`` is the name or path of one policy, or a table of policies that ``policy_name`` (a column of ``df``) looks up; a row
+    whose policy is not in the table gets nothing acted on.  ``verify`` makes the query fail on a leak; use
+    ``redact.quarantined`` without it to set leaking rows aside.
+    """
+    from spanveil.operators import policy as policies
+    from spanveil.operators import redact
+
+    spark = df.sparkSession
+    found = analyze(df, text, model_spans=model_spans)
+    if isinstance(policy, str):
+        rows = policies.table(spark, policy)
+        sha = F.lit(policies.fingerprint(policy))
+        found = found.crossJoin(F.broadcast(rows.select(F.struct(*rows.columns).alias("policy_row"))))
+    else:
+        rows, sha = policies.checked(policy), None
+        side = rows.select(F.col("name").alias("_policy"), F.struct(*rows.columns).alias("policy_row"))
+        found = found.join(F.broadcast(side), F.col(policy_name) == F.col("_policy"), "left").drop("_policy")
+    out = redact.apply(found, "policy_row", text, method=method, policy_sha256=sha, verify=verify, **options).drop("policy_row")
+    return redact.verified(out) if verify else out
