@@ -47,16 +47,20 @@ def analyze(
 
 
 def exploded(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
-    """One row per span."""
+    """One row per span.
+
+    An outer explode with a filter after it: a plain one makes the optimizer put "not empty" below the projection, where
+    all detectors would run a second time.
+    """
     s = F.col("_s")
-    return df.select(*keys, F.explode(spans).alias("_s")).select(
+    return df.select(*keys, F.explode_outer(spans).alias("_s")).filter("_s is not null").select(
         *keys, s.label.alias("label"), s["text"].alias("span_text"), s["start"].alias("span_start"), s["end"].alias("span_end"), s.confidence.alias("confidence"), s.source.alias("source")
     )
 
 
 def by_label(df: DataFrame, key: str, spans: str = "spans") -> DataFrame:
     """Values of each label of a text in order of appearance, and the order in which labels first appear."""
-    e = df.select(key, F.posexplode(spans).alias("at", "_s")).select(key, "at", F.col("_s.label").alias("label"), F.col("_s.text").alias("v"))
+    e = df.select(key, F.posexplode_outer(spans).alias("at", "_s")).filter("_s is not null").select(key, "at", F.col("_s.label").alias("label"), F.col("_s.text").alias("v"))
     return e.groupBy(key, "label").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("at", "v"))), lambda x: x.v).alias("values"), F.min("at").alias("first_at")
     )
