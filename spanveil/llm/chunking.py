@@ -123,7 +123,7 @@ def split_records(records: DataFrame, limits: DataFrame) -> DataFrame:
         if r.unit == "chars":
             part = by_text.filter(F.length("_text") > r.max_size)
             cuts = F.regexp_extract_all("_text", F.lit(cutter(r.max_size, overlap, CHAR_BOUNDARIES)), F.lit(0))
-            part = part.select("document", "_text", F.explode(_spans(cuts, overlap)).alias("s"))
+            part = part.select("document", "_text", F.explode_outer(_spans(cuts, overlap)).alias("s")).filter("s is not null")
             piece = F.substring(F.col("_text"), F.col("s.piece_start") + 1, F.col("s.piece_end") - F.col("s.piece_start"))
         else:
             pairs, letter = _token_classes()
@@ -131,7 +131,7 @@ def split_records(records: DataFrame, limits: DataFrame) -> DataFrame:
             earlier = F.slice(F.concat(F.slice("_pairs", 1, 1), F.col("_pairs")), 1, F.size("_pairs"))
             part = part.select("document", "_pairs", F.array_join(F.zip_with("_pairs", earlier, letter), "").alias("_classes"))
             cuts = F.regexp_extract_all("_classes", F.lit(cutter(r.max_size, overlap, TOKEN_BOUNDARIES)), F.lit(0))
-            part = part.select("document", "_pairs", F.explode(_spans(cuts, overlap)).alias("s"))
+            part = part.select("document", "_pairs", F.explode_outer(_spans(cuts, overlap)).alias("s")).filter("s is not null")
             inside = F.slice("_pairs", F.col("s.piece_start") + 1, F.col("s.piece_end") - F.col("s.piece_start"))
             piece = F.array_join(F.transform(inside, lambda x: F.concat(F.coalesce(x.t, F.lit("")), F.coalesce(x.g, F.lit("")))), "")
         out.append(
