@@ -5,7 +5,7 @@ A span is a struct (``spanveil.schema.SPAN``) with half-open offsets in code poi
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,17 +21,17 @@ def no_spans() -> Column:
     return F.array().cast(SPANS_DDL)
 
 
-def hits(text: Column, pattern: str | Column, groups: int = 0) -> Column:
-    """Every match of a pattern: ``start, end, text, groups``.
+#: Matches that one fold places; more are placed block by block, since a fold copies its result with every match.
+BLOCK = 48
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once however often it is used."""
+    return F.transform(F.array(value), body)[0]
 
-    The gaps between matches and the matches themselves come from the same scan order, so a fold over both gives
-    offsets.  Groups that took no part are ''.
-    """
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.split(text, pattern if isinstance(pattern, str) else p, -1)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    rows = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
+
+def _placed(rows: Column, at: Column) -> Column:
+    start = F.struct(at.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         a = acc.at + F.length(x.g)
@@ -39,7 +39,31 @@ def hits(text: Column, pattern: str | Column, groups: int = 0) -> Column:
         one = F.struct(a.alias("start"), b.alias("end"), x.h.alias("text"))
         return F.when(x.h.isNull(), acc).otherwise(F.struct(b.alias("at"), F.concat(acc.out, F.array(one)).alias("out")))
 
-    out = F.aggregate(rows, start, step, lambda acc: acc.out)
+    return F.aggregate(rows, start, step, lambda acc: acc.out)
+
+
+def _placed_in_blocks(rows: Column) -> Column:
+    def whole(blocks: Column) -> Column:
+        sizes = F.transform(blocks, lambda b: F.aggregate(b, F.lit(0), lambda n, x: n + F.length(x.g) + F.coalesce(F.length(x.h), F.lit(0))))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+        starts = F.aggregate(sizes, first, lambda acc, n: F.struct((acc.at + n).alias("at"), F.array_append(acc.out, acc.at).alias("out")), lambda acc: acc.out)
+        return F.flatten(F.zip_with(blocks, starts, _placed))
+
+    cuts = F.transform(F.sequence(F.lit(1), F.size(rows), F.lit(BLOCK)), lambda k: F.slice(rows, k, BLOCK))
+    return let(cuts, whole)
+
+
+def hits(text: Column, pattern: str | Column, groups: int = 0, many: bool = False) -> Column:
+    """Every match of a pattern: ``start, end, text, groups``.
+
+    The gaps between matches and the matches themselves come from the same scan order, so a fold over both gives
+    offsets.  Groups that took no part are ''.  ``many`` expects hundreds of matches or more in a text.
+    """
+    p = F.lit(pattern) if isinstance(pattern, str) else pattern
+    gaps = F.split(text, pattern if isinstance(pattern, str) else p, -1)
+    found = F.regexp_extract_all(text, p, F.lit(0))
+    rows = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
+    out = let(rows, _placed_in_blocks) if many else _placed(rows, F.lit(0))
     if not groups:
         return F.transform(out, lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), h.text.alias("text"), F.array().cast("array<string>").alias("groups")))
     zipped = F.arrays_zip(*[F.regexp_extract_all(text, p, F.lit(k)).alias(f"g{k}") for k in range(1, groups + 1)])

@@ -115,7 +115,7 @@ def char_labels(tokens: Column, spaces: Column, labels: Column) -> Column:
 
 def tokenise(text: Column) -> Column:
     """Runs of word characters and single other characters, with offsets."""
-    return F.transform(hits(text, X.TOKEN), lambda h: F.struct(h["text"].alias("token"), h["start"].alias("start"), h["end"].alias("end")))
+    return F.transform(hits(text, X.TOKEN, many=True), lambda h: F.struct(h["text"].alias("token"), h["start"].alias("start"), h["end"].alias("end")))
 
 
 def unmark(marked: Column) -> Column:

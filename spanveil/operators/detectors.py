@@ -6,6 +6,7 @@ is compiled once per task.  ``seq`` keeps the order of emission, which decides f
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -22,13 +23,18 @@ def digits_only(value: Column) -> Column:
     return F.regexp_replace(value, r"(?U)\D", "")
 
 
-def first_word(value: Column) -> Column:
-    return F.regexp_extract(value, r"(?U)^\s*(\S+)", 1)
+def any_word(words: Iterable[str]) -> str:
+    """A pattern for one of some words, taken literally: one literal in the plan, not one per word."""
+    return "(?:" + "|".join(re.escape(w) for w in words) + ")"
+
+
+STOP_FIRST = r"(?U)^\s*" + any_word(X.NAME_STOP) + r"(?!\S)"
+STOP_WORD, KIND_WORD = "^" + any_word(X.NAME_STOP) + r"\z", "^" + any_word(X.SCHOOL_KINDS) + r"\z"
 
 
 def is_stopword(value: Column) -> Column:
     """Whether a value starts with a word that starts no name."""
-    return first_word(value).isin(*X.NAME_STOP)
+    return value.rlike(STOP_FIRST)
 
 
 def is_luhn(digits: Column) -> Column:
@@ -38,12 +44,9 @@ def is_luhn(digits: Column) -> Column:
 def url_is_personal(url: Column, before: Column) -> Column:
     """A link to a person's page: a known kind of profile, or else not an allowed site, and with a path or called one's own."""
     u = F.lower(url)
-    known = [u.contains(h) for h in X.URL_PERSONAL]
-    allowed = [u.contains(a) for a in X.URL_ALLOWED]
-    any_of = lambda tests: F.array_contains(F.array(*tests), True)
     path = F.regexp_replace(u, r"^(?:https?://)?[^/]+", "")
     path = F.regexp_replace(path, r"""^[/.,;:)\]}'"]+|[/.,;:)\]}'"]+\z""", "")
-    return F.when(any_of(known), True).when(any_of(allowed), False).when(path == "", before.rlike(X.OWN_SITE)).otherwise(True)
+    return F.when(u.rlike(any_word(X.URL_PERSONAL)), True).when(u.rlike(any_word(X.URL_ALLOWED)), False).when(path == "", before.rlike(X.OWN_SITE)).otherwise(True)
 
 
 def _whole(label: str, pattern: str, conf: float, base: int, guard: Callable[[Column], Column], keep=None) -> Callable[[Column], Column]:
@@ -106,12 +109,12 @@ def _username(text: Column) -> Column:
         heading = (g == 2) & v.rlike(r"(?U)^\p{L}+\z") & v.rlike(r"^\p{Lu}")
         return (
             (g > 0) & ~around.rlike(X.EMAIL) & (F.length(v) >= 3) & v.rlike(r"(?U)\p{L}") & ~heading
-            & ~((g == 3) & F.lower(v).isin(*X.USERNAME_STOP))
+            & ~((g == 3) & F.lower(v).rlike("^" + any_word(X.USERNAME_STOP) + r"\z"))
         )
 
     found = F.filter(hits(text, X.USERNAME, 5), keep)
     made = F.transform(found, lambda h, i: span("USERNAME", _at_end(h, _group(h, 5)), _group(h, 5), 0.9, i + 6_000_000))
-    return guarded(text, text.rlike(X.USERNAME_GUARD), made)
+    return guarded(text, text.rlike(X.USERNAME), made)
 
 
 def _id_bare(text: Column) -> Column:
@@ -137,11 +140,11 @@ def _school(text: Column) -> Column:
 
         def step(acc: Column, w: Column) -> Column:
             bare = F.regexp_replace(w, r"\s+\z", "")
-            drop = acc.lead & bare.isin(*X.NAME_STOP)
+            drop = acc.lead & bare.rlike(STOP_WORD)
             return F.struct(
                 drop.alias("lead"),
                 F.when(drop, acc.skip + F.length(w)).otherwise(acc.skip).alias("skip"),
-                (acc.generic & (drop | bare.isin(*X.SCHOOL_KINDS))).alias("generic"),
+                (acc.generic & (drop | bare.rlike(KIND_WORD))).alias("generic"),
             )
 
         return F.aggregate(words(h), start, step)
@@ -163,7 +166,7 @@ def _location(text: Column) -> Column:
         first = h.groups[0] != ""
         return span("LOCATION", F.when(first, h["start"]).otherwise(_at_end(h, h.groups[1])), _group(h, 2), 0.75, i + 15_000_000)
 
-    return guarded(text, text.rlike("[A-Z][a-z]"), F.transform(found, make))
+    return guarded(text, text.rlike(X.LOCATION), F.transform(found, make))
 
 
 def _age(text: Column) -> Column:
@@ -173,7 +176,7 @@ def _age(text: Column) -> Column:
         early = (h.groups[0] != "") | (h.groups[1] != "")
         return span("AGE", F.when(early, h["start"]).otherwise(_at_end(h, _group(h, 4))), _group(h, 4), 0.8, i + 16_000_000)
 
-    return guarded(text, text.rlike(DIGIT), F.transform(found, make))
+    return guarded(text, text.rlike(X.AGE), F.transform(found, make))
 
 
 _digit = lambda t: t.rlike(DIGIT)
@@ -188,12 +191,12 @@ DETECTORS: tuple[tuple[str, str, Callable[[Column], Column]], ...] = (
     ("url", "URL_PERSONAL", _url(X.URL, 3_000_000, lambda t: t.rlike(r"(?i)://|www\."))),
     ("domain", "URL_PERSONAL", _url(X.BARE_DOMAIN, 4_000_000, lambda t: t.rlike(r"\.(?:com|net|org|io|me|edu|co|dev|app|info)"))),
     ("user", "USERNAME", _username),
-    ("id_cue", "ID_NUM", _tail("ID_NUM", X.ID_CUED, 1, 0.92, 7_000_000, DIGIT, _any)),
+    ("id_cue", "ID_NUM", _tail("ID_NUM", X.ID_CUED, 1, 0.92, 7_000_000, X.ID_CUED, _any)),
     ("id_bare", "ID_NUM", _id_bare),
     ("street", "STREET_ADDRESS", _whole("STREET_ADDRESS", X.STREET, 0.85, 9_000_000, lambda t: t.rlike(X.STREET_GUARD))),
     ("date", "DATE", _whole("DATE", X.DATE, 0.8, 10_000_000, lambda t: t.rlike(r"(?:19|20)\d{2}"))),
-    ("name", "NAME_STUDENT", _tail("NAME_STUDENT", X.NAME, 3, 0.7, 11_000_000, r"[A-Z][a-z'’-]", _name_ok)),
-    ("related", "NAME_RELATED", _tail("NAME_RELATED", X.RELATED, 1, 0.7, 12_000_000, r"(?i)\b(?:my|our|his|her|their)\b", _name_ok)),
+    ("name", "NAME_STUDENT", _tail("NAME_STUDENT", X.NAME, 3, 0.7, 11_000_000, X.NAME, _name_ok)),
+    ("related", "NAME_RELATED", _tail("NAME_RELATED", X.RELATED, 1, 0.7, 12_000_000, X.RELATED, _name_ok)),
     ("title", "NAME_RELATED", _tail("NAME_RELATED", X.TITLED, 1, 0.7, 13_000_000, "M[rsix]|Dr|Coach|Prof|Principal", _name_ok)),
     ("school", "SCHOOL", _school),
     ("loc", "LOCATION", _location),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanveil.functions import lexicon as X
 from spanveil.functions.spans import hits, no_spans, quoted, union
+from spanveil.operators.detectors import STOP_WORD
 from spanveil.schema import NAME_LABELS
 
 # Word length from which a part of a name spreads, its share of the confidence, and the model confidence from
@@ -22,7 +23,7 @@ def needles(spans: Column, least_part: int = LEAST_PART, least_model: float = LE
     def of(s: Column) -> Column:
         full = F.regexp_replace(s["text"], r"(?U)^\s+|\s+\z", "")
         words = F.transform(F.split(full, r"(?U)\s+", -1), lambda w: F.regexp_replace(w, r"^\.+|\.+\z", ""))
-        parts = F.filter(words, lambda w: (F.length(w) >= least_part) & w.rlike(r"^\p{Lu}") & ~w.isin(*X.NAME_STOP))
+        parts = F.filter(words, lambda w: (F.length(w) >= least_part) & w.rlike(r"^\p{Lu}") & ~w.rlike(STOP_WORD))
         one = F.struct(full.alias("needle"), s.label.alias("label"), s.confidence.alias("conf"))
         return F.concat(
             F.array(one),

@@ -14,7 +14,7 @@ from spanveil.functions import lexicon as X
 from spanveil.functions.spans import resolve
 from spanveil.operators import corpus, detectors, generators, metrics, policy, redact, scorer
 from spanveil.plans.analyze import analyze, by_label, deidentify, exploded
-from spanveil.plans.session import shared_dir, stage, table
+from spanveil.plans.session import busy, shared_dir, stage, table
 from spanveil.schema import CLASS_IDS, CORPUS_LABELS
 from spanveil.sources import readers, writers
 
@@ -47,7 +47,7 @@ class Built:
         return " || ".join(f"({e})" for e, _ in self.pieces())
 
     def frame(self, spark, d):
-        return table(spark, d, self.table).selectExpr(f"CAST({self.key} AS BIGINT) AS key", f"{self.text()} AS text")
+        return busy(table(spark, d, self.table)).selectExpr(f"CAST({self.key} AS BIGINT) AS key", f"{self.text()} AS text")
 
     def spans(self, spark, d):
         df = self.frame(spark, d)
@@ -180,7 +180,7 @@ RANKED = """
 
 def masked_by_lang(spark, d):
     """Detect, mask under a policy, check, and count per language and label what was removed and what leaked."""
-    docs = table(spark, d, "documents").select("doc_id", F.lower(F.trim("lang")).alias("lang"), "text")
+    docs = busy(table(spark, d, "documents")).select("doc_id", F.lower(F.trim("lang")).alias("lang"), "text")
     out = deidentify(docs, "ferpa", verify=False, document="doc_id")
     rows = out.select("lang", F.explode_outer("acted").alias("s"), F.size("leaks").alias("leaks")).filter("s is not null")
     return rows.groupBy("lang", F.col("s.label").alias("label")).agg(F.count("*").alias("removed"), F.sum((F.col("leaks") > 0).cast("bigint")).alias("in_leaking_texts"))
@@ -206,7 +206,7 @@ def analyze_query(spark, d):
 
 def extract(spark, d):
     """All labels over the whole corpus of documents: spans per label and source."""
-    found = analyze(table(spark, d, "documents").select("doc_id", "text"))
+    found = analyze(busy(table(spark, d, "documents")).select("doc_id", "text"))
     return exploded(found, ["doc_id"]).groupBy("label", "source").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"))
 
 
@@ -277,7 +277,7 @@ def surrogate(spark, d):
 
 
 def tokenise(spark, d):
-    docs = table(spark, d, "documents").filter("text is not null")
+    docs = busy(table(spark, d, "documents")).filter("text is not null")
     return docs.select("doc_id", F.size(corpus.tokenise(F.col("text"))).cast("bigint").alias("tokens"))
 
 
@@ -482,7 +482,7 @@ def quant_agree(spark, d):
 
 def win(spark, d):
     """Windows of every document, and whether the kept ranges tile it."""
-    w = table(spark, d, "documents").filter("text is not null").select("doc_id", "text", scorer.windows("text").alias("w"))
+    w = busy(table(spark, d, "documents")).filter("text is not null").select("doc_id", "text", scorer.windows("text").alias("w"))
     covered = F.aggregate("w", F.lit(0), lambda a, x: a + x["keep_to"] - x["keep_from"])
     return w.select("doc_id", F.size("w").cast("bigint").alias("windows"), (covered == F.length("text")).alias("tiles"))
 

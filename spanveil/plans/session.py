@@ -37,3 +37,9 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     path = f"{shared_dir(spark)}/spanveil/{what}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def busy(scan: DataFrame) -> DataFrame:
+    """A scan for processor-bound work: spread out if it has fewer partitions than there are cores, as small files do."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
