@@ -312,8 +312,8 @@ def find_names(text: str, low: str, taken: list[tuple[int, int]]) -> list[tuple[
         if w.lower() not in PLAIN and not w.isupper() and w.lower() not in COMMON_OWNERS and not m.group(2).lower() in PLAIN:
             seeds.setdefault(m.start(1), m.end(1))
     found: dict[int, int] = {}
-    for a, b in seeds.items():
-        if not any(s < b and a < e for s, e in taken):
+    for a, b in sorted(seeds.items(), key=lambda x: (x[0] - x[1], x[0])):
+        if not any(s < b and a < e for s, e in taken) and not any(s < b and a < e for s, e in found.items()):
             found[a] = b
     return sorted(_spread(text, low, found, taken).items())
 
@@ -562,33 +562,32 @@ def _luhn(digits: str) -> int:
 
 def permute_number(value: str, key: bytes, back: bool = False) -> str:
     """A value of digits and letters, permuted within its format: separators, letter case and the place of digits and
-    letters stay, a valid check digit (13 digits or more) stays valid.  ``back`` undoes it."""
+    letters stay, and of 13 digits or more a valid check digit stays valid and an invalid one invalid.  ``back`` undoes it."""
     shape = "".join("9" if c in "0123456789" else "A" if "A" <= c <= "Z" else "a" if "a" <= c <= "z" else c for c in value)
     places = [i for i, s in enumerate(shape) if s in "9Aa"]
-    digits = "".join(value[i] for i in places if shape[i] == "9")
-    check = len(digits) >= 13 and len(digits) == len(places) and _luhn(digits) == 0
-    if check:
-        places = places[:-1]
-    size = rank = 0
-    size = 1
-    for i in places:
+    card = len(places) >= 13 and all(shape[i] == "9" for i in places)
+    valid = card and _luhn("".join(value[i] for i in places)) == 0
+    free = places[:-1] if valid else places
+    rank, size = 0, 1
+    for i in free:
         base = 10 if shape[i] == "9" else 26
         rank = rank * base + (int(value[i]) if base == 10 else ord(value[i].lower()) - 97)
         size *= base
     if size < 2:
         return value
-    f = Feistel(key, size, shape + ("|luhn" if check else ""))
-    rank = f.backward(rank) if back else f.forward(rank)
-    out = list(value)
-    for i in reversed(places):
-        base = 10 if shape[i] == "9" else 26
-        rank, v = divmod(rank, base)
-        out[i] = str(v) if base == 10 else chr((97 if shape[i] == "a" else 65) + v)
-    if check:
-        last = max(i for i, s in enumerate(shape) if s == "9")
-        out[last] = "0"
-        out[last] = str((10 - _luhn("".join(c for c in out if c.isdigit()))) % 10)
-    return "".join(out)
+    f = Feistel(key, size, shape + ("|valid" if valid else ""))
+    while True:
+        rank = f.backward(rank) if back else f.forward(rank)
+        out, rest = list(value), rank
+        for i in reversed(free):
+            rest, v = divmod(rest, 10 if shape[i] == "9" else 26)
+            out[i] = str(v) if shape[i] == "9" else chr((97 if shape[i] == "a" else 65) + v)
+        digits = "".join(out[i] for i in places)
+        if valid:
+            out[places[-1]] = str((10 - _luhn(digits[:-1] + "0")) % 10)
+        # Values without a valid check digit walk on past those that have one.
+        if valid or not card or _luhn(digits):
+            return "".join(out)
 
 
 _DATES = (

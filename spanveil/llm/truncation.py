@@ -34,7 +34,7 @@ TRUSTED = 40
 HABIT = 0.01
 
 _LEFT = re.compile(r"\s*[\[(<{]\s*(?:\.\.\.|…|truncated|cut(?: off)?|more|continued|snip)\s*[\])>}]\s*\Z", re.I)
-_ESCAPE = re.compile(r"(?:&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{1,6})?|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|(?<=[\s\w])%[0-9a-fA-F]?)\Z")
+_ESCAPE = re.compile(r"(?:&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{1,6})?|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|(?<=%[0-9a-fA-F]{2})%[0-9a-fA-F]?)\Z")
 _TAG = re.compile(r"<(?:/?[a-zA-Z][^<>\n]*|!--[^<>]*|/)?\Z")
 _ENDS = re.compile(r"[.!?…。！？](?:[\"'”’»)\]*_]|\s)*\Z")
 _SMILE = re.compile(r"(?:[:;=8][-'^]?[)(DPpoO3\]/|]|[<]3|[^\w\s.,;:!?\"'()\[\]{}<>&%\\/–—-])\Z")
