@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions import lexicon as X
-from spanveil.functions.spans import hits
+from spanveil.functions.spans import hits, let
 from spanveil.plans.session import stage
 from spanveil.schema import CLASS_IDS
 
@@ -138,17 +138,14 @@ def to_bio(df: DataFrame, text: str = "text", gold: str = "gold") -> DataFrame:
     """Add ``tokens, trailing_whitespace, labels`` to texts with gold spans; a token takes the span its first character is in."""
     df = df.withColumn("_tok", tokenise(F.col(text)))
 
-    def inside(t: Column) -> Column:
-        return F.filter(gold, lambda s: (s["start"] <= t["start"]) & (t["start"] < s["end"]))
-
-    def label(t: Column) -> Column:
-        s = F.get(inside(t), 0)
+    def label(t: Column, spans: Column) -> Column:
+        s = F.get(F.filter(spans, lambda s: (s["start"] <= t["start"]) & (t["start"] < s["end"])), 0)
         return F.when(s.isNull(), "O").otherwise(F.concat(F.when(t["start"] == s["start"], "B-").otherwise("I-"), s.label))
 
     return (
         df.withColumn("tokens", F.transform("_tok", lambda t: t.token))
-        .withColumn("trailing_whitespace", F.transform("_tok", lambda t: F.substring(F.col(text), t["end"] + 1, F.lit(1)).rlike(r"(?U)^\s")))
-        .withColumn("labels", F.transform("_tok", label))
+        .withColumn("trailing_whitespace", let(F.col(text), lambda v: F.transform("_tok", lambda t: F.substring(v, t["end"] + 1, F.lit(1)).rlike(r"(?U)^\s"))))
+        .withColumn("labels", let(F.col(gold), lambda spans: F.transform("_tok", lambda t: label(t, spans))))
         .drop("_tok")
     )
 
@@ -169,3 +166,31 @@ def locate_spans(df: DataFrame, sentences: str, values: str) -> DataFrame:
         return F.struct((acc.at + F.length(x.s) + 1).alias("at"), F.concat(acc.gold, F.filter(here, lambda g: g["start"] >= acc.at)).alias("gold"))
 
     return df.withColumn("text", F.array_join(sentences, " ")).withColumn("gold", F.aggregate(pairs, lengths, step, lambda acc: acc.gold))
+
+
+def align(labels_by_char: Column, text: Column, offsets: Column, ignore: int = -100) -> Column:
+    """Class id of each sub-token (``s, e``): that of its first character that is no blank; empty ones are ignored by training."""
+    ids = F.create_map(*[F.lit(x) for kv in CLASS_IDS.items() for x in kv])
+
+    def all_of(t: Column, labels: Column) -> Column:
+        def one(o: Column) -> Column:
+            piece = F.substring(t, o.s + 1, o.e - o.s)
+            blank = F.length(piece) - F.length(F.regexp_replace(piece, r"(?U)^\s+", ""))
+            at = o.s + blank
+            return F.when((o.s == o.e) | (at >= o.e), F.lit(ignore)).otherwise(F.coalesce(F.try_element_at(ids, F.get(labels, at)), F.lit(0)))
+
+        return F.transform(offsets, one)
+
+    # Bound first: inside the lambda their expressions would be computed for every sub-token.
+    return let(text, lambda t: let(labels_by_char, lambda labels: all_of(t, labels)))
+
+
+def token_windows(df: DataFrame, columns: list[str], size: int, stride: int) -> DataFrame:
+    """One row per window of parallel arrays: ``size`` long, each sharing ``stride`` elements with the one before."""
+    if not 0 <= stride < size:
+        raise ValueError("stride must be smaller than the window")
+    n = F.size(columns[0])
+    last = F.greatest(F.lit(0), F.ceil((n - size) / (size - stride)).cast("int"))
+    rest = [c for c in df.columns if c not in columns]
+    cut = df.withColumn("window", F.explode_outer(F.sequence(F.lit(0), last)))
+    return cut.select(*rest, "window", *[F.slice(c, F.col("window") * (size - stride) + 1, size).alias(c) for c in columns])

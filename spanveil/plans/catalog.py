@@ -564,6 +564,95 @@ def snk_json(spark, d):
     return out.select(F.col("r.deidentified_text").alias("deidentified_text"), F.col("r.n_entities").alias("n"), F.exists("r.entities", lambda e: e["text"].isNotNull()).alias("has_values"))
 
 
+def src_text(spark, d):
+    """Masked texts written as plain text and read as whole files again."""
+    path = f"{shared_dir(spark)}/spanveil/snk-text"
+    writers.redacted_text(_deid(spark, d, NAMED, "ferpa").coalesce(1), path)
+    whole = readers.texts(spark, path).select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
+    return whole.groupBy("line").agg(F.count("*").alias("n"))
+
+
+def src_dataset(spark, d):
+    """Prepared train and validation parts, written by part and read again."""
+    path = f"{shared_dir(spark)}/spanveil/prepared"
+    docs = _unique_docs(spark, d).select("document", "tokens", "trailing_whitespace", "labels")
+    writers.prepared(corpus.split(docs), path)
+    return readers.prepared(spark, f"{path}/documents").groupBy("part").agg(F.count("*").alias("n"))
+
+
+def snk_report(spark, d):
+    path = f"{shared_dir(spark)}/spanveil/report"
+    writers.report(metrics.prf(metrics.judged(gold_rows(spark, d), pred_rows(spark, d))).na.fill({"label": "overall"}), path)
+    return spark.read.schema("label string, tp bigint, fp bigint, fn bigint").json(path)
+
+
+def resolve_model(spark, d):
+    """Where each listed model is taken from when no local copy exists."""
+    m = table(spark, d, "model_manifest")
+    names = [r.name for r in m.select("name").distinct().limit(1000).collect()]
+    return spark.createDataFrame([(n, readers.resolve_model(spark, m, n, "rules")) for n in [*names, "other/model"]], "name string, place string")
+
+
+def _rendered(spark, d, method):
+    pol = policy.checked(policy_rows(spark, d)).filter("name = 'district_default'").select(F.struct("*").alias("p"))
+    s = table(spark, d, "spans").distinct().crossJoin(F.broadcast(pol))
+    one = F.struct("label", "text")
+    return s.select("span_id", redact.rendered(one, F.col("p").withField("labels", F.map_filter("p.labels", lambda k, v: F.lit(False))), F.lit(method), F.lit(30), redact.SALT, 0).alias("out"))
+
+
+def r_mask(spark, d):
+    return _rendered(spark, d, "mask")
+
+
+def r_hash(spark, d):
+    return _rendered(spark, d, "hash")
+
+
+def r_keep(spark, d):
+    return _rendered(spark, d, "keep")
+
+
+def r_shift(spark, d):
+    return _rendered(spark, d, "shift_dates").join(table(spark, d, "spans").filter("label <> 'DATE'").select("span_id").distinct(), "span_id", "left_semi")
+
+
+def shift_days(spark, d):
+    n = table(spark, d, "documents").select("doc_id", redact.shift_days(F.col("doc_id"), 42).alias("days"))
+    return n.select("doc_id", ((F.abs("days") >= 1) & (F.abs("days") <= 365)).alias("within"))
+
+
+def leak_gaps(spark, d):
+    """A value that stands twice, acted on once: the second mention is a leak, though the output may hold it as a surrogate too."""
+    df = table(spark, d, "nation").selectExpr("CAST(n_nationkey AS BIGINT) AS key", f"'Ask ' || {NAME} || ' or ' || {NAME} || '.' AS text", f"{NAME} AS v")
+    span = F.array(F.struct(F.lit("NAME_STUDENT").alias("label"), F.col("v").alias("text"), F.lit(4).alias("start"), (F.length("v") + 4).alias("end"), F.lit("[X]").alias("out")))
+    return df.select("key", redact.leaks_in(F.array_join(redact.splice(F.col("text"), span)["gaps"], "\n"), F.array("v")).alias("l")).select("key", F.explode("l").alias("leak"))
+
+
+def spoken_email(spark, d):
+    """Addresses spelled out in words are gold only: the rules find none of them."""
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").cast("bigint").alias("key"), F.concat(F.lit("its u"), F.col("o_orderkey").cast("string"), F.lit(" at mail dot example dot com")).alias("text"))
+    return docs.select(F.size(detectors.detect(F.col("text"), ["EMAIL"])).alias("n")).agg(F.sum("n").cast("bigint").alias("found"))
+
+
+def decode(spark, d):
+    """Decoded spans of a deterministic scorer over all labelled documents."""
+    docs = table(spark, d, "labelled_docs").filter("full_text is not null").dropDuplicates(["document"]).select("document", F.col("full_text").alias("text"))
+    out = scorer.detect_model(docs, _stub, STUB_CLASSES).select("document", F.explode_outer("model_spans").alias("s")).filter("s is not null")
+    return out.select("document", "s.label", "s.start", "s.end", "s.text", F.round("s.confidence", 4).alias("confidence"))
+
+
+def subtoken_align(spark, d):
+    docs = corpus.rebuild(_unique_docs(spark, d)).withColumn("chars", corpus.char_labels(F.col("tokens"), F.col("trailing_whitespace"), F.col("labels")))
+    offsets = F.transform(corpus.tokenise(F.col("text")), lambda t: F.struct(t["start"].alias("s"), t["end"].alias("e")))
+    docs = docs.select("document", "text", "chars", offsets.alias("o")).withColumn("cls", corpus.align(F.col("chars"), F.col("text"), F.col("o")))
+    return docs.select("document", F.explode("cls").alias("cls")).groupBy("document", F.col("cls").cast("bigint").alias("cls")).agg(F.count("*").alias("n"))
+
+
+def explode_windows(spark, d):
+    docs = _unique_docs(spark, d).select("document", "tokens", "labels")
+    return corpus.token_windows(docs, ["tokens", "labels"], 128, 32).select("document", F.col("window").cast("bigint").alias("window"), F.size("tokens").cast("bigint").alias("tokens"))
+
+
 REGULATION = (
     ("records", "student's name", "NAME_STUDENT", "needs a model"), ("records", "family members' names", "NAME_RELATED", "partly"), ("records", "address", "STREET_ADDRESS", "partly"),
     ("records", "address", "LOCATION", "partly"), ("records", "personal identifier", "SSN", "found"), ("records", "personal identifier", "ID_NUM", "found"), ("records", "date of birth", "DATE", "partly"),
@@ -602,7 +691,8 @@ OTHERS = {
     "rules_quality": rules_quality, "is_positive": is_positive, "encode": encode, "char_project": char_project, "renumber": renumber, "split": split, "marks": marks, "essay_bio": essay_bio, "token_metrics": token_metrics,
     "f_beta": f_beta, "softmax": softmax, "argmax": argmax, "quant_agree": quant_agree, "win": win, "model_authority": model_authority, "gen_k12": gen_k12, "gen_essay": gen_essay, "cued_quality": cued_quality,
     "src_manifest": src_manifest, "src_policies": src_policies, "fp_policy": fp_policy, "src_limit": src_limit, "src_rest": src_rest, "snk_corpus": snk_corpus, "snk_json": snk_json, "snk_synth": snk_synth, "regulation_map": regulation_map,
-    "label_counts_by_day": label_counts_by_day,
+    "label_counts_by_day": label_counts_by_day, "src_text": src_text, "src_dataset": src_dataset, "snk_report": snk_report, "resolve_model": resolve_model, "r_mask": r_mask, "r_hash": r_hash, "r_keep": r_keep,
+    "r_shift": r_shift, "shift_days": shift_days, "leak_gaps": leak_gaps, "spoken_email": spoken_email, "decode": decode, "subtoken_align": subtoken_align, "explode_windows": explode_windows,
 }
 
 
@@ -708,6 +798,22 @@ SQL = {
     "snk_json": f"SELECT {MASKED} AS deidentified_text, 5::BIGINT AS n, false AS has_values FROM customer",
     "regulation_map": "SELECT rule, item, label, status, coalesce(n, 0) AS n FROM (VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in REGULATION)
     + ") m(rule, item, label, status) LEFT JOIN (SELECT label, count(*) AS n FROM spans GROUP BY label) USING (label)",
+    "src_text": "SELECT 'My name is [STUDENT]. We like [STUDENT]' || chr(39) || 's ideas and [STUDENT].' AS line, count(*) AS n FROM nation",
+    "src_dataset": """WITH d AS (SELECT document, len(list_filter(any_value(labels), lambda x: upper(trim(coalesce(x, 'O'))) <> 'O')) > 0 AS pos, md5('42|' || document::VARCHAR) AS turn FROM labelled_docs WHERE labels IS NOT NULL GROUP BY document),
+        n AS (SELECT *, row_number() OVER (ORDER BY turn, document) - 1 AS k, count(*) OVER () AS size FROM d),
+        rest AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY turn, document) - 1 AS j, count(*) OVER (PARTITION BY pos) AS m FROM n WHERE k >= floor(size * 0.1))
+        SELECT part, count(*) AS n FROM (SELECT 'validation' AS part FROM n WHERE k < floor(size * 0.1) UNION ALL SELECT 'train' FROM rest WHERE pos OR j < floor(m * 0.3)) GROUP BY part""",
+    "snk_report": f"{JUDGED},{PRF} SELECT coalesce(label, 'overall') AS label, tp, fp, fn FROM pr",
+    "resolve_model": "SELECT name, any_value(hf_id) AS place FROM model_manifest GROUP BY name UNION ALL SELECT 'other/model', 'other/model'",
+    "r_mask": "SELECT span_id, '[' || label || ']' AS out FROM (SELECT DISTINCT * FROM spans)",
+    "r_hash": f"SELECT span_id, substr(sha256('{redact.SALT}' || text), 1, 10) AS out FROM (SELECT DISTINCT * FROM spans)",
+    "r_keep": "SELECT span_id, text AS out FROM (SELECT DISTINCT * FROM spans)",
+    "r_shift": "SELECT span_id, '[' || label || ']' AS out FROM (SELECT DISTINCT * FROM spans) WHERE label <> 'DATE'",
+    "shift_days": "SELECT doc_id, true AS within FROM documents",
+    "leak_gaps": f"SELECT n_nationkey::BIGINT AS key, {NAME} AS leak FROM nation",
+    "spoken_email": "SELECT CAST(0 AS BIGINT) AS found",
+    "explode_windows": """SELECT document, w AS "window", CAST(least(n - 96 * w, 128) AS BIGINT) AS tokens FROM (
+        SELECT document, n, unnest(range(0, CAST(greatest(0, ceil((n - 128) / 96.0)) AS BIGINT) + 1)) AS w FROM (SELECT document, any_value(len(tokens)) AS n FROM labelled_docs WHERE labels IS NOT NULL GROUP BY document))""",
     "label_counts_by_day": "SELECT CAST(detected_at AS DATE) AS day, label, count(*) AS n FROM (SELECT DISTINCT * FROM spans) GROUP BY ALL",
 }
 SQL |= {name: b.sql() for name, b in BUILT.items()}
