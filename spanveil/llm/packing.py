@@ -26,8 +26,13 @@ def token_count(text) -> Column:
     return F.regexp_count(F.col(text), F.lit(TOKEN))
 
 
-def bpe_token_count(text: str, vocabulary: str, pattern: str) -> Column:
-    """Tokens by a public byte-level vocabulary: ``vocabulary`` is the path of a rank file every executor can read."""
+#: Pre-tokenisation of the public byte-level vocabularies.
+BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def bpe_token_count(text: str, vocabulary: str, pattern: str = BYTE_PATTERN) -> Column:
+    """Tokens by a public byte-level vocabulary: ``vocabulary`` is the path of a rank file every executor can read.  A null
+    text has null tokens, special tokens in a text are ordinary text."""
 
     @F.pandas_udf("int")
     def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:

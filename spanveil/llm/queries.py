@@ -50,6 +50,15 @@ def p6_report(spark, d):
     return packing.fill_report(p6_bins(spark, d), _limits(spark, d, "documents"))
 
 
+#: A public rank file; another one is used by setting spanveil.vocabulary on the session.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def p6_bins_bpe(spark, d):
+    size = packing.bpe_token_count("text", spark.conf.get("spanveil.vocabulary", VOCABULARY))
+    return packing.fill(table(spark, d, "documents"), _limits(spark, d, "documents"), size)
+
+
 def p7_found(spark, d):
     return leakage.leaked_documents(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -95,7 +104,7 @@ def p4_pseudonyms(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_redacted, p4_pseudonyms, p5_found, p5_groups, p6_found, p6_bins, p6_report, p7_found, p7_items, p8_found, p8_report)
+    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_redacted, p4_pseudonyms, p5_found, p5_groups, p6_found, p6_bins, p6_bins_bpe, p6_report, p7_found, p7_items, p8_found, p8_report)
 }
 
 RECORD_TEXT = """coalesce(full_text, array_to_string([t || CASE WHEN trailing_whitespace[i] THEN ' ' ELSE '' END FOR t, i IN tokens], ''))"""

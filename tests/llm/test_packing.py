@@ -75,3 +75,16 @@ def test_empty(spark):
     none = spark.createDataFrame([], DOCS)
     assert packing.fill(none, spark.createDataFrame([(1, 5)], LIMITS)).collect() == []
     assert packing.fill(spark.createDataFrame([(1, "a", None)], DOCS), spark.createDataFrame([], LIMITS)).collect() == []
+
+
+def test_public_tokenizer(spark, tmp_path):
+    import base64
+
+    ranks = [bytes([i]) for i in range(256)] + [b"ab", b" a"]
+    path = tmp_path / "tiny.tiktoken"
+    path.write_bytes(b"\n".join(base64.b64encode(r) + b" " + str(i).encode() for i, r in enumerate(ranks)))
+    df = spark.createDataFrame([(1, "ab ab", None), (2, None, None), (3, "", None), (4, "é", None)], DOCS)
+    got = {r.doc_id: r.n for r in df.select("doc_id", packing.bpe_token_count("text", str(path)).alias("n")).collect()}
+    assert got == {1: 3, 2: None, 3: 0, 4: 2}
+    rows = packing.fill(df, spark.createDataFrame([(1, 2)], LIMITS), packing.bpe_token_count("text", str(path))).collect()
+    assert sorted((r.doc_id, r.token_start, r.token_end) for r in rows) == [(1, 0, 2), (1, 2, 3), (4, 0, 2)]
