@@ -114,17 +114,20 @@ SIGN_OFFS = ("sincerely,", "regards,", "yours truly,", "best wishes,", "respectf
 _BY = re.compile(rf"by{_GAP}(?=[^\W\d_])", re.I)
 _BY_END = re.compile(r"[^\S\n]*(?:[\n.;(]|period\b|\Z)", re.I)
 _OPENS = re.compile(r"(?:\n\s*|[.!?…;:\"”)][^\S\n]+|\A\s*|\bwritten )\Z", re.I)
+#: A third full word is part of a name only before a stop or a word that goes on about the person.
+_AFTER_THIRD = re.compile(r"\s*(?:[^\w\s]|\n|\Z)|\s+(?:and|is|was|who|at|in|from|on|said|helped)\b", re.I)
 _INITIAL = re.compile(r"(?<!\w)[^\W\d_]\.")
 _TO_LINE, _TO_WORD = re.compile(r"[^\S\n]*\n\s*"), re.compile(r"\s+")
 _TITLE_GAP = re.compile(rf"\.?{_GAP}(?=[^\W\d_])")
 _PERIOD = re.compile(rf"(?:\n[^\S\n]*|{_GAP})period{_GAP}\d{{1,2}}\b", re.I)
 _SPEAKER = re.compile(rf"[^\S\n]*({_W}(?:{_GAP}(?:[A-Z]\.|{_W})){{0,2}}):(?=\s)")
+_COLON = re.compile(":")
 _HELPED = re.compile(r"\s+(?:helped|said|is|was|and)\b", re.I)
 _OWNED = re.compile(r"(?:report|project|essay|poster|notebook|story|speech|poem|drawing|presentation|homework|answer|idea)\b")
 _LAST_WORD = re.compile(rf"{_W}\Z")
 #: A capitalised word that opens a sentence and does something to something.
 _STARTS = re.compile(
-    rf"(?:(?<=[.!?…][ \n\xa0])|(?<=\n)|\A)([A-ZÀ-Þ][^\W\d_]+){_GAP}([a-z]+(?:ed|ew|ote|ook|ade|ought|aught|ound|ept|elt|oke|ore|old|ang|an|ut|ot)){_GAP}(?:the|a|an|my|our|his|her|their|one|two|three|four|five|six|some|many){_GAP}"
+    rf"(?:(?<=[.!?…][ \n\xa0])|(?<=\n)|\A)([A-ZÀ-Þ][^\W\d_]+){_GAP}([a-z]+(?:ed|ew|ote|ook|ade|ought|aught|ound|ept|elt|oke|ore|old|ang|an|ut|ot)){_GAP}(?:(?:to|at|with|for|on|about){_GAP})?(?:the|a|an|my|our|his|her|their|one|two|three|four|five|six|some|many){_GAP}"
 )
 
 
@@ -141,6 +144,11 @@ class Names:
         if not m:
             return at
         first = m.group(1)
+        if first in PARTICLES:
+            g = _SKIP.match(text, m.end(1))
+            if g and text[g.end() : g.end() + 1].isupper():
+                end = self.read(g.end(), most - 1, comma=False)
+                return end if end > g.end() else at
         lower = first.islower()
         if (first.lower() in PLAIN and not (len(first) == 1 and first.isupper() and m.group(2))) or (lower and len(first) < 2):
             return at
@@ -151,6 +159,7 @@ class Names:
             return at
         if m.group(2) and not initial:
             return self._possessive(at, end)
+        full = 1
         while words < most:
             g = _SKIP.match(text, pos)
             if not g:
@@ -182,6 +191,9 @@ class Names:
                 break
             if lower and not w[0].islower():
                 break
+            full += 1
+            if full > 2 and not _AFTER_THIRD.match(text, m.end(1)):
+                break
             end, pos, words, pending, initial = m.end(1), m.end(), words + 1, None, False
             if dot or (lower and words >= 2 + bool(initial)):
                 break
@@ -232,6 +244,8 @@ def find_names(text: str, low: str, taken: list[tuple[int, int]]) -> list[tuple[
     seeds: dict[int, int] = {}
 
     def seed(at: int, follow=None, most: int = 4) -> None:
+        gap = _SKIP.match(text, at)
+        at = gap.end() if gap else at
         end = names.read(at, most)
         while follow is not None and end > at and not follow.match(text, end):
             cut = text.rfind(" ", at, end)
@@ -297,6 +311,10 @@ def find_names(text: str, low: str, taken: list[tuple[int, int]]) -> list[tuple[
                 if w[:1].isupper() and w.lower() not in PLAIN and w.lower() not in HEADINGS and names.read(m.start(1)) == m.end(1) and len(text[m.end() : stop].split()) >= 3:
                     seeds[m.start(1)] = m.end(1)
         at = stop + 1
+    for at in _find_all(low, ": "):
+        w = _LAST_WORD.search(text, max(0, at - 30), at)
+        if w and w.group()[0].isupper() and not w.group().isupper() and len(w.group()) > 1 and w.group().lower() not in PLAIN and w.group().lower() not in HEADINGS and _OPENS.search(text, max(0, w.start() - 10), w.start()):
+            seed(w.start(), _COLON)
     for mark in ("'s ", "’s "):
         for at in _find_all(low, mark):
             m = _OWNED.match(low, at + 3 + len(_SKIP.match(low, at + 2).group()) - 1)
@@ -323,7 +341,7 @@ COMMON_OWNERS = frozenset("today yesterday everyone everybody somebody someone n
 
 HEADINGS = frozenset("sources source notes note title subject date period class pickup question answer answers problem step example tutor student teacher contact ps re to from summary abstract introduction conclusion".split())
 
-_FOLLOWED = re.compile(r"['’]s\b|\s+(?:the|was|is|are|came|u|teacher|room|trees?|tree|of|in|be|a|an|has|have|had|will|would|can|could|may|might|class|show)\b", re.I)
+_FOLLOWED = re.compile(r"['’]s\b|\s+(?:the|was|is|are|came|u|teacher|room|trees?|tree|money|of|in|be|a|an|has|have|had|will|would|can|could|may|might|class|show)\b", re.I)
 
 
 def _spread(text: str, low: str, found: dict[int, int], taken: list[tuple[int, int]]) -> dict[int, int]:
@@ -379,7 +397,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     """
     if not text:
         return []
-    low = _lower(text)
+    low = _lower(text).replace("\xa0", " ")
     out: list[tuple[str, int, int]] = []
     taken: list[tuple[int, int]] = []
 
@@ -433,7 +451,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         a = at
         if text[at - 1 : at] == "+" or text[at - 1 : at] == "(":
             a = at - 1
-        before = text[max(0, a - 60) : a]
+        before = _SKIP.sub(" ", text[max(0, a - 80) : a])
         if before[-1:] in "-.#$/_" and before[-1:]:
             continue
         m, cued = _INTL.match(text, a) or _US_PHONE.match(text, a), False
@@ -450,7 +468,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     for at in runs:
         m = _ID_VALUE.match(text, at)
         if m and text[at - 1 : at] not in ("-", ".", "/", "@") and sum(c.isdigit() for c in m.group()) >= 4:
-            if _ID_BEFORE.search(text, max(0, at - 60), at) or _ID_AFTER.match(text, m.end()):
+            if _ID_BEFORE.search(_SKIP.sub(" ", text[max(0, at - 80) : at])) or _ID_AFTER.match(_SKIP.sub(" ", text[m.end() : m.end() + 80])):
                 put("ID_NUM", at, m.end())
     if "five five" in low or "zero" in low:
         for m in _SPOKEN.finditer(text):
