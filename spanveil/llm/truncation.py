@@ -266,7 +266,7 @@ def judged(documents: DataFrame) -> DataFrame:
     # A reported size that equals the bytes is no hint.
     short = F.coalesce((F.col("reported") > F.col("chars")) & (F.col("reported") != F.col("bytes")), F.lit(False))
     seen = stage(
-        x.select("doc_id", "source", "genre", "chars", "bytes", own.alias("own"), short.alias("short"), (plain & ~F.col("dots")).alias("bare")),
+        x.select("doc_id", "source", "genre", "chars", "bytes", own.alias("own"), short.alias("short"), (plain & ~F.col("dots")).alias("bare"), (unfinished & ~F.coalesce(habit, F.lit(False)) & ~F.col("dots")).alias("loose")),
         "truncation-seen",
     )
     hits = F.count("own").alias("hits")
@@ -284,7 +284,7 @@ def judged(documents: DataFrame) -> DataFrame:
     )
     why = (
         F.when(F.col("own").isNotNull(), F.col("own"))
-        .when(F.col("bare") & (F.col("cl").isNotNull() | F.col("bl").isNotNull()), "limit")
+        .when(F.col("loose") & (F.col("cl").isNotNull() | F.col("bl").isNotNull()), "limit")
         .when(F.col("bare") & F.col("short") & F.col("honest"), "reported")
     )
     return y.select("doc_id", "source", "genre", why.isNotNull().alias("cut"), why.alias("why"))
