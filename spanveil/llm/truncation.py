@@ -37,7 +37,8 @@ _LEFT = re.compile(r"\s*[\[(<{]\s*(?:\.\.\.|…|truncated|cut(?: off)?|more|cont
 _ESCAPE = re.compile(r"(?:&(?:#x?[0-9a-fA-F]*|[a-zA-Z]{1,6})?|\\(?:u[0-9a-fA-F]{0,3}|x[0-9a-fA-F]?)?|(?<=%[0-9a-fA-F]{2})%[0-9a-fA-F]?)\Z")
 _TAG = re.compile(r"<(?:/?[a-zA-Z][^<>\n]*|!--[^<>]*|/)?\Z")
 _ENDS = re.compile(r"[.!?…。！？](?:[\"'”’»)\]*_]|\s)*\Z")
-_SMILE = re.compile(r"(?:[:;=8][-'^]?[)(DPpoO3\]/|]|[<]3|[^\w\s.,;:!?\"'()\[\]{}<>&%\\/–—-])\Z")
+# An emoticon, or a symbol outside ASCII that is no punctuation.
+_SMILE = re.compile(r"(?:[:;=8][-'^]?[)(DPpoO3\]/|]|<3|[^\x00-\x7f\w\s…‥–—‒“”„‘’‚«»‹›¿¡�])\Z")
 _DOTS = re.compile(r"(?:\.\.\.+|…)\s*\Z")
 _OPEN = re.compile(r"[\"“”«»()\[\]\n]")
 _PAIR = {")": "(", "]": "[", "”": "“", "»": "«"}
