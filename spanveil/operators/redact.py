@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import spanveil
 from spanveil.functions.spans import by_start, no_spans, quoted
+from spanveil.operators.policy import METHODS
 from spanveil.schema import AUTHORITY_LABELS, SPANS_DDL
 
 # They show in the results.
@@ -45,7 +48,7 @@ def surrogate(label: Column, value: Column, seed: int = 0) -> Column:
     def made(turn: int) -> Column:
         def pick(words: list[str], salt: str) -> Column:
             h = F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), F.lit(salt), label, same), F.lit(len(words)))
-            return F.element_at(F.array(*map(F.lit, words)), (h + 1).cast("int"))
+            return F.get(F.split(F.lit("|".join(words)), r"\|"), h.cast("int"))
 
         def number(digits: Column | int, salt: str) -> Column:
             n = F.lit(digits) if isinstance(digits, int) else digits
@@ -94,30 +97,36 @@ def method_of(policy: Column, asked: Column | str | None) -> Column:
     return F.when(ask.isNotNull() & allowed, ask).otherwise(F.coalesce(policy["default_method"], F.lit("mask")))
 
 
-def rendered(s: Column, policy: Column, method: Column, days: Column, salt: str, seed: int) -> Column:
-    """What takes the place of a span; a label's own method wins."""
+def rendered(s: Column, policy: Column, method: Column, days: Column, salt: str, seed: int, methods: Collection[str] = METHODS) -> Column:
+    """What takes the place of a span; a label's own method wins.  ``methods`` are those that can occur: the others stay out of
+    the plan."""
     rule = label_rule(policy, s.label)
     m = F.coalesce(rule["method"], method)
     tag = F.concat(F.lit("["), s.label, F.lit("]"))
-    return (
-        F.when(m == "mask", F.coalesce(rule["mask"], tag))
-        .when(m == "replace", surrogate(s.label, s["text"], seed))
-        .when(m == "hash", hash_value(s["text"], salt))
-        .when(m == "shift_dates", F.when(s.label == "DATE", shift_date(s["text"], days)).otherwise(tag))
-        .when(m == "keep", s["text"])
-        .otherwise(F.raise_error(F.concat(F.lit("unknown method "), F.coalesce(m, F.lit("null")))))
-    )
+    how = {
+        "mask": lambda: F.coalesce(rule["mask"], tag),
+        "replace": lambda: surrogate(s.label, s["text"], seed),
+        "hash": lambda: hash_value(s["text"], salt),
+        "shift_dates": lambda: F.when(s.label == "DATE", shift_date(s["text"], days)).otherwise(tag),
+        "keep": lambda: s["text"],
+    }
+    wrong = F.raise_error(F.concat(F.lit("unknown method "), F.coalesce(m, F.lit("null"))))
+    out = None
+    for name in METHODS:
+        if name in methods:
+            out = F.when(m == name, how[name]()) if out is None else out.when(m == name, how[name]())
+    return wrong.cast("string") if out is None else out.otherwise(wrong)
 
 
 ACTED_DDL = "array<struct<label:string,text:string,start:int,end:int,out:string>>"
 
 
-def render_all(spans: Column, policy: Column, method: Column, days: Column, salt: str = SALT, seed: int = 0) -> Column:
+def render_all(spans: Column, policy: Column, method: Column, days: Column, salt: str = SALT, seed: int = 0, methods: Collection[str] = METHODS) -> Column:
     return F.transform(
         spans,
         lambda s: F.struct(
             s.label.alias("label"), s["text"].alias("text"), s["start"].alias("start"), s["end"].alias("end"),
-            rendered(s, policy, method, days, salt, seed).alias("out"),
+            rendered(s, policy, method, days, salt, seed, methods).alias("out"),
         ),
     )
 
@@ -171,6 +180,7 @@ def apply(
     policy_sha256: Column | None = None,
     detector: str | None = "detector",
     verify: bool = True,
+    methods: Collection[str] = METHODS,
 ) -> DataFrame:
     """Add ``method_used, acted, deidentified_text, replacements, leaks, audit`` to texts with spans.
 
@@ -185,7 +195,7 @@ def apply(
     days = F.lit(date_shift_days) if date_shift_days else F.coalesce(own, drawn)
     df = df.withColumn("method_used", method_of(pol, method)).withColumn("_days", days.cast("int"))
     df = df.withColumn("_kept", acted_on(F.coalesce(F.col(spans), no_spans()).cast(SPANS_DDL), pol))
-    df = df.withColumn("acted", render_all(F.col("_kept"), pol, F.col("method_used"), F.col("_days"), salt, seed))
+    df = df.withColumn("acted", render_all(F.col("_kept"), pol, F.col("method_used"), F.col("_days"), salt, seed, methods))
     df = df.withColumn("_cut", F.when(t.isNotNull(), splice(t, F.col("acted"))))
     df = df.withColumn("deidentified_text", F.array_join("_cut.parts", ""))
     df = df.withColumn("_same", F.array_distinct(F.transform(F.filter("acted", lambda s: s.out == s["text"]), lambda s: s["text"])))

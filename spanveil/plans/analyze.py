@@ -90,6 +90,10 @@ def deidentify(
     if isinstance(policy, str):
         rows = policies.table(spark, policy)
         sha = F.lit(policies.fingerprint(policy))
+        chosen = policies.load(policy)
+        if method is None or isinstance(method, str):
+            # Only what can occur enters the plan.
+            options.setdefault("methods", {m for m in (method, chosen["default_method"], *(r[1] for r in chosen["labels"].values())) if m})
         found = found.crossJoin(F.broadcast(rows.select(F.struct(*rows.columns).alias("policy_row"))))
     else:
         rows, sha = policies.checked(policy), None

@@ -6,6 +6,7 @@ in SQL by adding up lengths, without any pattern.  The parts are expressions bot
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from spanveil.plans.analyze import analyze, by_label, deidentify, exploded
 from spanveil.plans.session import busy, shared_dir, stage, table
 from spanveil.schema import CLASS_IDS, CORPUS_LABELS
 from spanveil.sources import readers, writers
+from spanveil.streaming import stream
 
 # A capitalised made-up name per nation: its key as letters.
 NAME = "'N' || chr(CAST(97 + n_nationkey % 5 AS INT)) || 'or' || chr(CAST(97 + n_nationkey AS INT)) || 'el'"
@@ -564,6 +566,15 @@ def snk_json(spark, d):
     return out.select(F.col("r.deidentified_text").alias("deidentified_text"), F.col("r.n_entities").alias("n"), F.exists("r.entities", lambda e: e["text"].isNotNull()).alias("has_values"))
 
 
+def stream_masked(spark, d):
+    """The labelled documents as a stream of files, masked: texts, spans acted on and leaks."""
+    path = f"{shared_dir(spark)}/spanveil/stream-{uuid.uuid4().hex}"
+    table(spark, d, "labelled_docs").select("document", F.col("full_text").alias("text")).filter("text is not null").write.parquet(f"{path}/in")
+    live = spark.readStream.schema("document bigint, text string").parquet(f"{path}/in")
+    out = stream.deidentify_stream(live).select("document", F.size("acted").alias("acted"), F.size("leaks").alias("leaks"))
+    return stream.run_to_table(out, f"{path}/out").agg(F.count("*").alias("texts"), F.sum("acted").alias("acted"), F.sum("leaks").alias("leaks"))
+
+
 def src_text(spark, d):
     """Masked texts written as plain text and read as whole files again."""
     path = f"{shared_dir(spark)}/spanveil/snk-text"
@@ -691,7 +702,7 @@ OTHERS = {
     "rules_quality": rules_quality, "is_positive": is_positive, "encode": encode, "char_project": char_project, "renumber": renumber, "split": split, "marks": marks, "essay_bio": essay_bio, "token_metrics": token_metrics,
     "f_beta": f_beta, "softmax": softmax, "argmax": argmax, "quant_agree": quant_agree, "win": win, "model_authority": model_authority, "gen_k12": gen_k12, "gen_essay": gen_essay, "cued_quality": cued_quality,
     "src_manifest": src_manifest, "src_policies": src_policies, "fp_policy": fp_policy, "src_limit": src_limit, "src_rest": src_rest, "snk_corpus": snk_corpus, "snk_json": snk_json, "snk_synth": snk_synth, "regulation_map": regulation_map,
-    "label_counts_by_day": label_counts_by_day, "src_text": src_text, "src_dataset": src_dataset, "snk_report": snk_report, "resolve_model": resolve_model, "r_mask": r_mask, "r_hash": r_hash, "r_keep": r_keep,
+    "label_counts_by_day": label_counts_by_day, "src_text": src_text, "stream_masked": stream_masked, "src_dataset": src_dataset, "snk_report": snk_report, "resolve_model": resolve_model, "r_mask": r_mask, "r_hash": r_hash, "r_keep": r_keep,
     "r_shift": r_shift, "shift_days": shift_days, "leak_gaps": leak_gaps, "spoken_email": spoken_email, "decode": decode, "subtoken_align": subtoken_align, "explode_windows": explode_windows,
 }
 

@@ -23,3 +23,10 @@ def label_counts(texts: DataFrame, time: str, window: str = "1 hour", late: str
     found = analyze(texts.withWatermark(time, late), text)
     rows = found.select(time, F.explode("spans").alias("s")).groupBy(F.window(time, window), F.col("s.label").alias("label"))
     return rows.agg(F.count("*").alias("spans"))
+
+
+def run_to_table(stream: DataFrame, path: str) -> DataFrame:
+    """Process what is there, exactly once per file, into a table; called again it goes on where it stopped."""
+    q = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/_state").option("path", f"{path}/rows").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
