@@ -125,9 +125,30 @@ CATEGORY = r"""
         SELECT d.document, coalesce(l, 'NO_PII') AS category
         FROM (SELECT DISTINCT document FROM labelled_docs WHERE split = 'train' AND labels IS NOT NULL) d LEFT JOIN best USING (document)),
     stock AS (SELECT category, count(*) AS n FROM pool GROUP BY category)"""
+WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+PAIRS = f"""
+    WITH texts AS (SELECT document, any_value({RECORD_TEXT}) AS t, any_value(split) AS split FROM labelled_docs WHERE document IS NOT NULL GROUP BY document),
+    words AS (SELECT document, {WORDS.format("t")} AS w FROM texts),
+    shingles AS (SELECT DISTINCT document, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS s FROM (SELECT *, unnest(range(1, len(w) - 1)) AS i FROM words)),
+    sizes AS (SELECT document, count(*) AS n FROM shingles GROUP BY document),
+    shared AS (SELECT a.document AS document_a, b.document AS document_b, count(*) AS c FROM shingles a JOIN shingles b ON a.s = b.s AND a.document < b.document GROUP BY ALL),
+    pairs AS (SELECT document_a, document_b FROM shared JOIN sizes x ON x.document = document_a JOIN sizes y ON y.document = document_b WHERE 2 * c >= x.n + y.n - c)"""
+CROSS = f"""{PAIRS},
+    cross_pairs AS (SELECT p.*, coalesce(x.split = 'train', false) AS ta FROM pairs p JOIN texts x ON x.document = document_a JOIN texts y ON y.document = document_b
+                    WHERE coalesce(x.split = 'train', false) <> coalesce(y.split = 'train', false))"""
 NEEDED = "greatest(min_count, CAST(round(target_share * sample_size) AS BIGINT))"
 
 SQL = {
+    "p2_found": f"{CROSS} SELECT document_a, document_b FROM cross_pairs",
+    "p2_report": f"""{CROSS}, e AS (SELECT CASE WHEN ta THEN document_b ELSE document_a END AS ev, CASE WHEN ta THEN document_a ELSE document_b END AS tr FROM cross_pairs),
+        meta AS (SELECT document, any_value(split) AS eval_split, any_value(source) AS eval_source FROM labelled_docs GROUP BY document)
+        SELECT eval_split, eval_source, count(*) AS pairs, count(DISTINCT ev) AS eval_documents, count(DISTINCT tr) AS train_documents FROM e JOIN meta ON document = ev GROUP BY ALL""",
+    "p5_found": f"{PAIRS} SELECT document_a, document_b FROM pairs",
+    "p7_found": f"""
+        WITH d AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents), e AS (SELECT item_id, {WORDS.format("text")} AS w FROM eval_items),
+        runs AS (SELECT DISTINCT item_id, array_to_string(w[i:i + 9], ' ') AS r FROM (SELECT *, unnest(range(1, len(w) - 8)) AS i FROM e)),
+        seen AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 9], ' ') AS r FROM (SELECT *, unnest(range(1, len(w) - 8)) AS i FROM d))
+        SELECT DISTINCT doc_id, item_id FROM seen JOIN runs USING (r)""",
     "p3_found": f"""{CATEGORY}
         SELECT plan_id, category FROM sample_targets LEFT JOIN stock USING (category) WHERE coalesce(n, 0) < {NEEDED}""",
     "p3_report": f"""{CATEGORY}
