@@ -10,7 +10,8 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Collection, Iterator
 from datetime import date, timedelta
 
 import pyarrow as pa
@@ -131,6 +132,23 @@ _STARTS = re.compile(
 )
 
 
+class Cover:
+    """Disjoint intervals in order."""
+
+    def __init__(self):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def free(self, a: int, b: int) -> bool:
+        i = bisect_left(self.starts, b)
+        return i == 0 or self.ends[i - 1] <= a
+
+    def add(self, a: int, b: int) -> None:
+        i = bisect_left(self.starts, a)
+        self.starts.insert(i, a)
+        self.ends.insert(i, b)
+
+
 class Names:
     """Reads names at given places of one text."""
 
@@ -238,8 +256,8 @@ def _cue_end(text: str, low: str, at: int, cue: str) -> int | None:
     return at + len(cue)
 
 
-def find_names(text: str, low: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Spans of the names in a text that overlap none of the ``taken`` spans."""
+def find_names(text: str, low: str, taken: Cover) -> list[tuple[int, int]]:
+    """Spans of the names in a text that overlap nothing of ``taken``, where they are added."""
     names = Names(text, low)
     seeds: dict[int, int] = {}
 
@@ -269,7 +287,7 @@ def find_names(text: str, low: str, taken: list[tuple[int, int]]) -> list[tuple[
             if at and (low[at - 1].isalnum() or low[at - 1] in "_@-"):
                 continue
             m = _TITLE_GAP.match(text, end)
-            if m and text[at:end].isupper() and len(title) > 3 and not low[:at].endswith("asked "):
+            if m and text[at:end].isupper() and len(title) > 3 and not low.endswith("asked ", 0, at):
                 continue
             if m and text[m.end() : m.end() + 1].isupper():
                 seed(m.end())
@@ -331,7 +349,8 @@ def find_names(text: str, low: str, taken: list[tuple[int, int]]) -> list[tuple[
             seeds.setdefault(m.start(1), m.end(1))
     found: dict[int, int] = {}
     for a, b in sorted(seeds.items(), key=lambda x: (x[0] - x[1], x[0])):
-        if not any(s < b and a < e for s, e in taken) and not any(s < b and a < e for s, e in found.items()):
+        if taken.free(a, b):
+            taken.add(a, b)
             found[a] = b
     return sorted(_spread(text, low, found, taken).items())
 
@@ -341,24 +360,49 @@ COMMON_OWNERS = frozenset("today yesterday everyone everybody somebody someone n
 
 HEADINGS = frozenset("sources source notes note title subject date period class pickup question answer answers problem step example tutor student teacher contact ps re to from summary abstract introduction conclusion".split())
 
-_FOLLOWED = re.compile(r"['’]s\b|\s+(?:the|was|is|are|came|u|teacher|room|trees?|tree|money|of|in|be|a|an|has|have|had|will|would|can|could|may|might|class|show)\b", re.I)
+#: After these a name that is an ordinary word too is that word ("Dawn came", "Grant money").
+_NO_MENTION = re.compile(r"\s+(?:the|was|is|are|came|trees?|of|money)\b", re.I)
+_ONE_WORD = re.compile(_W)
+
+
+#: From this many names on, their mentions are looked up word by word instead of searched for one by one.
+MANY_NAMES = 40
+
 
+def _mentions(low: str, wanted: Collection[str]) -> Iterator[tuple[int, int]]:
+    """Where one of some names may stand, longer ones first; with many names in order of place."""
+    if len(wanted) <= MANY_NAMES:
+        for name in sorted(wanted, key=len, reverse=True):
+            for at in _find_all(low, name):
+                yield at, at + len(name)
+        return
+    first: dict[str, list[str]] = {}
+    for name in sorted(wanted, key=len, reverse=True):
+        first.setdefault(_ONE_WORD.match(name).group() if _ONE_WORD.match(name) else name, []).append(name)
+    for m in _ONE_WORD.finditer(low):
+        word = m.group()
+        for key in (word, word[:-2] if word[-2:] in ("'s", "’s", "‘s") else None):
+            for name in first.get(key, ()):
+                if low.startswith(name, m.start()):
+                    yield m.start(), m.start() + len(name)
 
-def _spread(text: str, low: str, found: dict[int, int], taken: list[tuple[int, int]]) -> dict[int, int]:
+
+def _spread(text: str, low: str, found: dict[int, int], taken: Cover) -> dict[int, int]:
     """Every other mention of the names found: full names, and their parts where they are capitalised or stand alone."""
     full, parts = {}, {}
     for a, b in found.items():
         name = low[a:b]
         words = [w for w in re.findall(_W, name) if len(w) > 1 and w not in PARTICLES]
         if len(words) > 1:
-            full[name] = len(words)
+            full[name] = True
         for w in words:
             if len(w) > 2 and w not in PLAIN:
                 parts.setdefault(w, text[a].isupper())
     out = dict(found)
 
-    def free(a: int, b: int) -> bool:
-        return not any(s < b and a < e for s, e in taken) and not any(s < b and a < e for s, e in out.items() if (s, e) != (a, b))
+    def take(a: int, b: int) -> None:
+        taken.add(a, b)
+        out[a] = b
 
     def bounded(a: int, b: int) -> bool:
         if a and (text[a - 1].isalnum() or text[a - 1] in "_@-'’./"):
@@ -366,27 +410,22 @@ def _spread(text: str, low: str, found: dict[int, int], taken: list[tuple[int, i
         nxt = text[b : b + 2]
         return not (nxt[:1].isalnum() or nxt[:1] in "_@/" or (nxt[:1] in "-.'’" and nxt[1:].isalnum() and not re.match(r"['’]s\b", text[b : b + 3])))
 
-    for name in sorted(full, key=len, reverse=True):
-        for at in _find_all(low, name):
-            if bounded(at, at + len(name)) and free(at, at + len(name)):
-                out[at] = at + len(name)
+    for at, end in _mentions(low, full):
+        if bounded(at, end) and taken.free(at, end):
+            take(at, end)
     names = Names(text, low)
-    for w in sorted(parts, key=len, reverse=True):
-        for at in _find_all(low, w):
-            end = at + len(w)
-            if not bounded(at, end) or not free(at, end):
-                continue
-            shape = text[at:end]
-            if shape.islower() and not (low[:at].endswith(("@ ", "thx ", "its ", "im ", "add "))):
-                continue
-            if not shape.islower() and _FOLLOWED.match(text, end) and not re.match(r"['’]s\b", text[end : end + 3]) and not shape.isupper():
-                nxt = re.match(r"\s+(\w+)", text[end : end + 20])
-                if nxt and nxt.group(1).lower() in ("the", "was", "is", "are", "came", "trees", "tree", "of", "money"):
-                    continue
-            stop = names.read(at)
-            if stop > end and free(at, stop) and all(p in parts for p in re.findall(_W, low[at:stop]) if len(p) > 1 and p not in PARTICLES):
-                end = stop
-            out[at] = end
+    for at, end in _mentions(low, parts):
+        if not bounded(at, end) or not taken.free(at, end):
+            continue
+        shape = text[at:end]
+        if shape.islower() and not low.endswith(("@ ", "thx ", "its ", "im ", "add "), 0, at):
+            continue
+        if not shape.islower() and not shape.isupper() and _NO_MENTION.match(text, end):
+            continue
+        stop = names.read(at)
+        if stop > end and taken.free(at, stop) and all(p in parts for p in re.findall(_W, low[at:stop]) if len(p) > 1 and p not in PARTICLES):
+            end = stop
+        take(at, end)
     return out
 
 
@@ -399,15 +438,13 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         return []
     low = _lower(text).replace("\xa0", " ")
     out: list[tuple[str, int, int]] = []
-    taken: list[tuple[int, int]] = []
+    taken = Cover()
 
-    def put(label: str | None, a: int, b: int) -> bool:
-        if any(s < b and a < e for s, e in taken):
-            return False
-        taken.append((a, b))
-        if label:
-            out.append((label, a, b))
-        return True
+    def put(label: str | None, a: int, b: int) -> None:
+        if taken.free(a, b):
+            taken.add(a, b)
+            if label:
+                out.append((label, a, b))
 
     for at in _find_all(text, "@"):
         left, right = _LOCAL_PART.search(text, max(0, at - 80), at), _DOMAIN.match(text, at + 1)

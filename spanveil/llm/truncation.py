@@ -50,20 +50,26 @@ def open_at_end(text: str) -> list[tuple[str, int]]:
     Straight quotes toggle; a closer pops down to its opener; an opener dies at a blank line, where writing starts anew.
     """
     stack: list[tuple[str, int]] = []
+    held: Counter = Counter()
     last_break = -2
     for m in _OPEN.finditer(text):
         c, at = m.group(), m.start()
         if c == "\n":
             if at == last_break + 1:
                 stack.clear()
+                held.clear()
             last_break = at
-        elif c in "([“«" or (c == '"' and not any(s == '"' for s, _ in stack)):
+        elif c in "([“«" or (c == '"' and not held['"']):
             stack.append((c, at))
+            held[c] += 1
         else:
             want = _PAIR.get(c, '"')
-            if any(s == want for s, _ in stack):
-                while stack.pop()[0] != want:
-                    pass
+            if held[want]:
+                while True:
+                    top = stack.pop()[0]
+                    held[top] -= 1
+                    if top == want:
+                        break
     return stack
 
 

@@ -103,3 +103,12 @@ def test_tables(spark):
     assert same["deid_results", 7] != "my social is 929 30 5414" and same["deid_results", 7][16] == " "
     none = pii.found(a.limit(0), b.limit(0))
     assert none.collect() == []
+
+
+def test_many_names_in_one_text():
+    rng = random.Random(2)
+    made = sorted({"".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(4)).capitalize() for _ in range(120)})
+    text = "".join(f"My name is {w} Vale.\n" for w in made)
+    tail = "".join(f"We met {w} and {w}'s dog, not x{w.lower()}.\n" for w in made)
+    got = [text_ for l, a, b in pii.find_spans(text + tail) if a >= len(text) for text_ in [(text + tail)[a:b]]]
+    assert got == [w for w in made for _ in range(2)]
