@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.schema import SPANS_DDL
@@ -30,6 +30,16 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def fenced(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row whatever is done with it later.
+
+    A generator stands between it and the rest of the plan, so filters on it aren't rewritten into filters on what it is
+    computed from, which would compute that again.
+    """
+    rest = [c for c in df.columns if c != name]
+    return df.select(*[F.col(f"`{c}`") for c in rest], F.explode_outer(F.array(value)).alias(name))
+
+
 def _placed(rows: Column, at: Column) -> Column:
     start = F.struct(at.cast("int").alias("at"), F.array().cast("array<struct<start:int,end:int,text:string>>").alias("out"))
 

@@ -68,9 +68,8 @@ def renumber(extra: DataFrame, docs: DataFrame, key: str = "document") -> DataFr
 
     Row numbers come from per-partition counts over a range partitioning, not from one global window.
     """
-    top = docs.agg(F.coalesce(F.max(key), F.lit(-1)).alias("_top"))
-    ranked = numbered(extra, [F.col(key).asc_nulls_first()], "_n")
-    return ranked.crossJoin(F.broadcast(top)).withColumn(key, (F.col("_top") + 1 + F.col("_n")).cast("bigint")).drop("_top", "_n")
+    top = docs.agg(F.coalesce(F.max(key), F.lit(-1)).alias("top")).first().top
+    return numbered(extra, [F.col(key).asc_nulls_first()], "_n").withColumn(key, (F.lit(top + 1) + F.col("_n")).cast("bigint")).drop("_n")
 
 
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:

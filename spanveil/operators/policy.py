@@ -6,7 +6,8 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from spanveil.schema import ALL_LABELS, POLICY_DDL
 
@@ -86,6 +87,13 @@ def table(spark: SparkSession, *names: str) -> DataFrame:
     return spark.createDataFrame(rows, POLICY_DDL)
 
 
+def literal(policy: dict) -> Column:
+    """One policy as a constant of the plan."""
+    rule = ("enabled", "method", "mask", "min_confidence")
+    plain = policy | {"labels": {label: dict(zip(rule, r)) for label, r in policy["labels"].items()}}
+    return F.from_json(F.lit(json.dumps(plain)), POLICY_DDL)
+
+
 def checked(policies: DataFrame) -> DataFrame:
     """The table, if it is small enough to be sent to every executor."""
     if policies.limit(MOST_POLICIES + 1).count() > MOST_POLICIES:

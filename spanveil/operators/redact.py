@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import spanveil
-from spanveil.functions.spans import by_start, no_spans, quoted
+from spanveil.functions.spans import by_start, fenced, no_spans, quoted
 from spanveil.operators.policy import METHODS
 from spanveil.schema import AUTHORITY_LABELS, SPANS_DDL
 
@@ -195,14 +195,14 @@ def apply(
     days = F.lit(date_shift_days) if date_shift_days else F.coalesce(own, drawn)
     df = df.withColumn("method_used", method_of(pol, method)).withColumn("_days", days.cast("int"))
     df = df.withColumn("_kept", acted_on(F.coalesce(F.col(spans), no_spans()).cast(SPANS_DDL), pol))
-    df = df.withColumn("acted", render_all(F.col("_kept"), pol, F.col("method_used"), F.col("_days"), salt, seed, methods))
+    df = fenced(df, "acted", render_all(F.col("_kept"), pol, F.col("method_used"), F.col("_days"), salt, seed, methods))
     df = df.withColumn("_cut", F.when(t.isNotNull(), splice(t, F.col("acted"))))
     df = df.withColumn("deidentified_text", F.array_join("_cut.parts", ""))
     df = df.withColumn("_same", F.array_distinct(F.transform(F.filter("acted", lambda s: s.out == s["text"]), lambda s: s["text"])))
     left = F.coalesce(F.array_join("_cut.gaps", "\n"), F.lit(""))
     df = df.withColumn("_left", left)
     stay = leaks_in(F.col("_left"), F.transform("acted", lambda s: s["text"]))
-    df = df.withColumn("leaks", F.concat(F.col("_same"), F.array_except(stay, F.col("_same"))))
+    df = fenced(df, "leaks", F.concat(F.col("_same"), F.array_except(stay, F.col("_same"))))
     df = df.withColumn("replacements", replacements(F.col("acted")))
     model = F.col(detector) if detector else F.lit("rules")
     df = df.withColumn(

@@ -7,7 +7,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.functions.spans import no_spans, resolve
+from spanveil.functions.spans import fenced, no_spans, resolve
 from spanveil.operators import detectors, propagate as names
 from spanveil.schema import ALL_LABELS, AUTHORITY_LABELS, SPANS_DDL
 
@@ -39,9 +39,10 @@ def analyze(
     df = df.withColumn("_found", found)
     if propagate:
         df = df.withColumn("_needles", names.needles(F.col("_found")))
-        df = df.withColumn(out, F.when(t.isNull(), no_spans()).otherwise(resolve(names.propagate(t, F.col("_found"), F.col("_needles"))))).drop("_needles")
+        every = resolve(names.propagate(t, F.col("_found"), F.col("_needles")))
+        df = fenced(df, out, F.when(t.isNull(), no_spans()).otherwise(every)).drop("_needles")
     else:
-        df = df.withColumn(out, resolve(F.col("_found")))
+        df = fenced(df, out, resolve(F.col("_found")))
     detector = "rules" if model_spans is None else "model"
     return df.drop("_found").withColumn("detector", F.lit(detector))
 
@@ -85,16 +86,14 @@ def deidentify(
     from spanveil.operators import policy as policies
     from spanveil.operators import redact
 
-    spark = df.sparkSession
     found = analyze(df, text, model_spans=model_spans)
     if isinstance(policy, str):
-        rows = policies.table(spark, policy)
         sha = F.lit(policies.fingerprint(policy))
         chosen = policies.load(policy)
         if method is None or isinstance(method, str):
             # Only what can occur enters the plan.
             options.setdefault("methods", {m for m in (method, chosen["default_method"], *(r[1] for r in chosen["labels"].values())) if m})
-        found = found.crossJoin(F.broadcast(rows.select(F.struct(*rows.columns).alias("policy_row"))))
+        found = found.withColumn("policy_row", policies.literal(chosen))
     else:
         rows, sha = policies.checked(policy), None
         side = rows.select(F.col("name").alias("_policy"), F.struct(*rows.columns).alias("policy_row"))

@@ -289,10 +289,11 @@ def policy_rows(spark, d):
 
 def pol_filter(spark, d):
     """For every policy, how many reported spans of each label it acts on."""
-    arr = span_arrays(spark, d)
-    pol = policy.checked(policy_rows(spark, d)).select(F.struct("*").alias("p"))
-    acted = arr.crossJoin(F.broadcast(pol)).select(F.col("p.name").alias("policy"), F.explode(redact.acted_on(F.col("spans"), F.col("p"))).alias("s"))
-    return acted.groupBy("policy", F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
+    rules = policy.checked(policy_rows(spark, d)).select(F.struct("*").alias("p"), F.explode(F.map_keys("labels")).alias("_l"))
+    spans = span_arrays(spark, d).select(F.explode("spans").alias("s"))
+    both = spans.join(F.broadcast(rules), F.col("s.label") == F.col("_l"))
+    acted = both.filter(F.size(redact.acted_on(F.array("s"), F.col("p"))) > 0)
+    return acted.groupBy(F.col("p.name").alias("policy"), F.col("s.label").alias("label")).agg(F.count("*").alias("n"))
 
 
 def method(spark, d):
@@ -605,8 +606,8 @@ def resolve_model(spark, d):
 
 
 def _rendered(spark, d, method):
-    pol = policy.checked(policy_rows(spark, d)).filter("name = 'district_default'").select(F.struct("*").alias("p"))
-    s = table(spark, d, "spans").distinct().crossJoin(F.broadcast(pol))
+    pol = policy.checked(policy_rows(spark, d)).select(F.col("name").alias("_n"), F.struct("*").alias("p"))
+    s = table(spark, d, "spans").distinct().withColumn("_w", F.lit("district_default")).join(F.broadcast(pol), F.col("_n") == F.col("_w"))
     one = F.struct("label", "text")
     return s.select("span_id", redact.rendered(one, F.col("p").withField("labels", F.map_filter("p.labels", lambda k, v: F.lit(False))), F.lit(method), F.lit(30), redact.SALT, 0).alias("out"))
 
