@@ -85,9 +85,8 @@ def candidates(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: fl
             .join(right.groupBy("key").agg(F.count("*").alias("r")), "key")
             .select("key", (F.col("l") + F.col("r")).alias("c"))
         )
-    sides = []
-    for side in (left,) if own else (left, right):
-        sides.append(side.join(counts, "key"))
+    counts = stage(counts, "buckets")
+    sides = [side.join(counts, "key") for side in ((left,) if own else (left, right))]
     l, r = sides[0], sides[-1]
     fit = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * threshold - 1e-9
     order = F.col("l.cls") < F.col("r.cls") if own else F.col("l.cls") != F.col("r.cls")
@@ -103,9 +102,11 @@ def candidates(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: fl
         wide = side.filter(f"c > {hot}").join(sets.select("cls", "shingles"), "cls")
         return wide.select("cls", "n", "key", F.explode(F.slice("shingles", 1, prefix_size(F.col("n"), threshold))).alias("tok"))
 
-    plain = pairs(l.filter(f"c <= {hot}"), r.filter(f"c <= {hot}"), ["key"])
-    fine = pairs(opened(l), opened(r), ["key", "tok"])
-    return plain.unionAll(fine).distinct()
+    found = pairs(l.filter(f"c <= {hot}"), r.filter(f"c <= {hot}"), ["key"])
+    # The second way enters the plan only where there is something for it to do.
+    if counts.filter(f"c > {hot}").limit(1).count():
+        found = found.unionAll(pairs(opened(l), opened(r), ["key", "tok"]))
+    return found.distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
