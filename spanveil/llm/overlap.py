@@ -69,12 +69,42 @@ def prefix_size(n, threshold: float):
     return n - F.ceil(n * threshold - 1e-9).cast("int") + 1
 
 
-def candidates(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, hot: int) -> DataFrame:
+def least_shared(n, other, threshold: float):
+    """Elements that sets of these sizes share at least, at this Jaccard similarity."""
+    return F.ceil((n + other) * (threshold / (1 + threshold)) - 1e-9)
+
+
+def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
+    """``cls, n, key, rest, first``: the elements of each set's prefix that other sets hold too, rarest first.
+
+    ``rest`` counts the set's elements behind this one, ``first`` marks the shorter prefix that does for a set that
+    is the smaller of its pair.  Two sets at ``threshold`` share at least the first element they have in common.
+    Elements of one set only come first of all; they are counted, not kept.
+    """
+    each = sets.select("cls", "n", F.explode("shingles").alias("key"))
+    counts = each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    common = each.join(counts, "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"))
+    own = F.col("n") - F.size("s")
+    kept = F.greatest(prefix_size(F.col("n"), threshold) - own, F.lit(0))
+    short = F.col("n") - least_shared(F.col("n"), F.col("n"), threshold) + 1
+    rows = common.select("cls", "n", own.alias("own"), short.alias("short"), F.posexplode(F.slice("s", F.lit(1), kept)).alias("i", "e"))
+    at = F.col("own") + F.col("i")
+    return rows.select("cls", "n", F.col("e.key").alias("key"), (F.col("n") - at - 1).cast("int").alias("rest"), (at < F.col("short")).alias("first"))
+
+
+def prefix_bound(threshold: float):
+    """What a pair of rows of ``prefix_keys`` must meet if their key is the first element the two sets share."""
+    smaller = (F.col("l.first") & (F.col("l.n") <= F.col("r.n"))) | (F.col("r.first") & (F.col("r.n") <= F.col("l.n")))
+    return smaller & (F.least("l.rest", "r.rest") + 1 >= least_shared(F.col("l.n"), F.col("r.n"), threshold))
+
+
+def candidates(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, hot: int, bound=None) -> DataFrame:
     """Distinct ``a, b`` that share a key.  ``left`` and ``right``: ``cls, n, key``; pass the same frame twice for
     pairs within one collection (``a < b`` then).
 
     Keys on one row pair nothing and go first.  A bucket of more than ``hot`` rows isn't paired as it is: its rows
     are joined on (key, element of the sorted set's prefix), which loses no pair of the bucket at ``threshold``.
+    ``bound``: a further condition on the two rows, ``l`` and ``r``.
     """
     own = left is right
     if own:
@@ -90,6 +120,8 @@ def candidates(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: fl
     l, r = sides[0], sides[-1]
     fit = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * threshold - 1e-9
     order = F.col("l.cls") < F.col("r.cls") if own else F.col("l.cls") != F.col("r.cls")
+    if bound is not None:
+        fit = fit & bound
 
     def pairs(x, y, on):
         same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
@@ -100,7 +132,7 @@ def candidates(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: fl
 
     def opened(side):
         wide = side.filter(f"c > {hot}").join(sets.select("cls", "shingles"), "cls")
-        return wide.select("cls", "n", "key", F.explode(F.slice("shingles", 1, prefix_size(F.col("n"), threshold))).alias("tok"))
+        return wide.select(*left.columns, F.explode(F.slice("shingles", 1, prefix_size(F.col("n"), threshold))).alias("tok"))
 
     found = pairs(l.filter(f"c <= {hot}"), r.filter(f"c <= {hot}"), ["key"])
     # The second way enters the plan only where there is something for it to do.

@@ -131,3 +131,38 @@ def test_prefix_never_loses_a_pair(n):
         for shared in range(0, min(n, other) + 1):
             if shared / (n + other - shared) >= 0.5:
                 assert shared > 0 and n - int(np.ceil(n * 0.5 - 1e-9)) + 1 > n - shared
+
+
+def rewritten(kind, n=60, seed=11):
+    """Pairs of texts over few long runs: every tenth word replaced, or passages of seven words in another order."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(n):
+        words = rng.choices(vocabulary, k=rng.randrange(70, 200))
+        if kind == "edits":
+            other = [rng.choice(vocabulary) if k % 10 == 9 else w for k, w in enumerate(words)]
+        else:
+            passages = [words[k : k + 7] for k in range(0, len(words), 7)]
+            rng.shuffle(passages)
+            other = [w for p in passages for w in p]
+        rows += [(2 * i, "train", "real", " ".join(words), None, None, None, None), (2 * i + 1, "test", "real", " ".join(other), None, None, None, None)]
+    return rows
+
+
+@pytest.mark.parametrize("kind", ["edits", "passages"])
+@pytest.mark.parametrize("hot", [256, 1])
+def test_rewritten_texts_are_all_found(spark, monkeypatch, kind, hot):
+    rows = rewritten(kind)
+    want = truth(rows)
+    monkeypatch.setattr(neardup, "HOT", hot)
+    df = spark.createDataFrame(rows, SCHEMA)
+    assert len(want) >= 50
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(df).collect()} == want
+    assert sum(r.links for r in neardup.near_duplicate_groups(df).collect()) == 2 * len(want)
+
+
+def test_prefixes_alone_equal_brute_force(spark, monkeypatch):
+    rows = make(40, 5) + [(1000 + r[0], *r[1:]) for r in rewritten("edits", 10) + rewritten("passages", 10, 12)]
+    monkeypatch.setattr(neardup, "fuzzy_keys", lambda words, shingles: np.empty(0, np.uint64))
+    assert {tuple(r) for r in neardup.near_duplicate_pairs(spark.createDataFrame(rows, SCHEMA)).collect()} == truth(rows)
