@@ -144,6 +144,12 @@ def _unique_docs(spark, d):
     return table(spark, d, "labelled_docs").filter("labels is not null").dropDuplicates(["document"])
 
 
+def _labelled_texts(spark, d):
+    """``document, text`` of labelled_docs, rows as they are: ``full_text``, where null the joined tokens; null without either."""
+    text = F.coalesce("full_text", corpus.rebuilt_text(F.col("tokens"), F.coalesce("trailing_whitespace", F.array().cast("array<boolean>"))))
+    return table(spark, d, "labelled_docs").select("document", text.alias("text"))
+
+
 def gold_rows(spark, d):
     g = corpus.rebuild(_unique_docs(spark, d)).select("document", F.explode_outer("gold").alias("g")).filter("g is not null")
     return g.select("document", F.col("g.label").alias("label"), F.col("g.start").cast("bigint").alias("start"), F.col("g.end").cast("bigint").alias("end"))
@@ -511,7 +517,8 @@ def _stub():
 
 def model_authority(spark, d):
     """Labels per source when a scorer has run: it alone decides the labels it is the authority for."""
-    df = scorer.detect_model(table(spark, d, "labelled_docs").dropDuplicates(["document"]).select("document", F.coalesce("full_text", F.lit("")).alias("text")), _stub, STUB_CLASSES)
+    docs = _labelled_texts(spark, d).dropDuplicates(["document"]).na.fill({"text": ""})
+    df = scorer.detect_model(docs, _stub, STUB_CLASSES)
     return exploded(analyze(df, model_spans="model_spans"), ["document"]).groupBy("label", "source").agg(F.count("*").alias("n"))
 
 
@@ -570,7 +577,7 @@ def snk_json(spark, d):
 def stream_masked(spark, d):
     """The labelled documents as a stream of files, masked: texts, spans acted on and leaks."""
     path = f"{shared_dir(spark)}/spanveil/stream-{uuid.uuid4().hex}"
-    table(spark, d, "labelled_docs").select("document", F.col("full_text").alias("text")).filter("text is not null").write.parquet(f"{path}/in")
+    _labelled_texts(spark, d).filter("text is not null").write.parquet(f"{path}/in")
     live = spark.readStream.schema("document bigint, text string").parquet(f"{path}/in")
     out = stream.deidentify_stream(live).select("document", F.size("acted").alias("acted"), F.size("leaks").alias("leaks"))
     return stream.run_to_table(out, f"{path}/out").agg(F.count("*").alias("texts"), F.sum("acted").alias("acted"), F.sum("leaks").alias("leaks"))
@@ -648,7 +655,7 @@ def spoken_email(spark, d):
 
 def decode(spark, d):
     """Decoded spans of a deterministic scorer over all labelled documents."""
-    docs = table(spark, d, "labelled_docs").filter("full_text is not null").dropDuplicates(["document"]).select("document", F.col("full_text").alias("text"))
+    docs = _labelled_texts(spark, d).filter("text is not null").dropDuplicates(["document"])
     out = scorer.detect_model(docs, _stub, STUB_CLASSES).select("document", F.explode_outer("model_spans").alias("s")).filter("s is not null")
     return out.select("document", "s.label", "s.start", "s.end", "s.text", F.round("s.confidence", 4).alias("confidence"))
 
