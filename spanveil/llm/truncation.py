@@ -1,8 +1,9 @@
 """Problem 8: texts that were cut off.
 
-A structural check of how a text ends.  A stack automaton follows quotes, brackets and markup through the whole text
-and says what is still open at its end; patterns tell broken multibyte sequences, broken escapes and the marks a transfer leaves
-at a cut.  What remains is judged against the corpus: how often the last word ends a sentence or a line elsewhere, whether
+A structural check of how a text ends.  A stack automaton follows quotes and round and square brackets through the whole text
+and says what is still open at its end; patterns tell broken multibyte sequences, broken escapes, an unfinished tag and the marks
+a transfer leaves at a cut.  Left out: markup elements and braces are not on the stack, so an element that is never closed is no
+evidence, and an open quote or bracket counts only if it was opened in the last sentence and line and the text has no terminator.  What remains is judged against the corpus: how often the last word ends a sentence or a line elsewhere, whether
 it is only the beginning of other words, which exact lengths a source produces far too often, and how many of the
 texts of a source and genre carry a terminator.
 """
