@@ -218,6 +218,29 @@ def extract(spark, d):
     return exploded(found, ["doc_id"]).groupBy("label", "source").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"))
 
 
+NAME_TYPES = ("NAME_STUDENT", "NAME_RELATED", "SCHOOL", "LOCATION")
+
+
+def names_corpus(spark, d):
+    """The detectors of names, titles, schools and places over all documents, without propagation: spans per label."""
+    docs = busy(table(spark, d, "documents")).select("doc_id", detectors.detect(F.col("text"), NAME_TYPES).alias("spans"))
+    return exploded(docs, ["doc_id"]).groupBy("label").agg(F.count("*").alias("spans"), F.countDistinct("doc_id").alias("documents"))
+
+
+def propagate_corpus(spark, d):
+    """Name propagation over the texts of all labelled documents: propagated spans per document and label."""
+    docs = _labelled_texts(spark, d).filter("text is not null").dropDuplicates(["document"])
+    rows = exploded(analyze(docs), ["document"]).filter("source = 'propagated'")
+    return rows.groupBy("document", "label").agg(F.count("*").alias("spans"))
+
+
+def coppa_corpus(spark, d):
+    """All documents masked under coppa: what was removed per label, and how much of it in texts with leaks."""
+    out = deidentify(busy(table(spark, d, "documents")).select("doc_id", "text"), "coppa", verify=False, document="doc_id")
+    rows = out.select(F.explode_outer("acted").alias("s"), F.size("leaks").alias("leaks")).filter("s is not null")
+    return rows.groupBy(F.col("s.label").alias("label")).agg(F.count("*").alias("removed"), F.sum((F.col("leaks") > 0).cast("bigint")).alias("in_leaking_texts"))
+
+
 def by_label_query(spark, d):
     df = analyze(MIXED.frame(spark, d))
     return by_label(df, "key").select("key", "label", F.size("values").cast("bigint").alias("n"), F.col("values")[0].alias("first_value"))
@@ -712,6 +735,7 @@ OTHERS = {
     "src_manifest": src_manifest, "src_policies": src_policies, "fp_policy": fp_policy, "src_limit": src_limit, "src_rest": src_rest, "snk_corpus": snk_corpus, "snk_json": snk_json, "snk_synth": snk_synth, "regulation_map": regulation_map,
     "label_counts_by_day": label_counts_by_day, "src_text": src_text, "stream_masked": stream_masked, "src_dataset": src_dataset, "snk_report": snk_report, "resolve_model": resolve_model, "r_mask": r_mask, "r_hash": r_hash, "r_keep": r_keep,
     "r_shift": r_shift, "shift_days": shift_days, "leak_gaps": leak_gaps, "spoken_email": spoken_email, "decode": decode, "subtoken_align": subtoken_align, "explode_windows": explode_windows,
+    "names_corpus": names_corpus, "propagate_corpus": propagate_corpus, "coppa_corpus": coppa_corpus,
 }
 
 

@@ -35,3 +35,13 @@ def test_null_full_text_reaches_model_authority(spark, tmp_path):
 def test_null_full_text_is_streamed_and_masked(spark, tmp_path):
     r = catalog.stream_masked(spark, folder(spark, tmp_path)).first()
     assert r.texts == 4 and r.acted >= 2
+
+
+def test_names_and_coppa_run_over_corpus_texts(spark, tmp_path):
+    q = catalog.queries()
+    text = "My name is Ona Smith. " + "We read a book. " * 200 + "We like Ona and Smith. My brother Bram laughed."
+    spark.createDataFrame([(1, text), (2, None)], "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, text, None, None, None)], SCHEMA).write.parquet(f"{tmp_path}/labelled_docs.parquet")
+    assert {r.label: r.spans for r in q["names_corpus"](spark, tmp_path).collect()} == {"NAME_STUDENT": 1, "NAME_RELATED": 1}
+    assert [(r.document, r.label, r.spans) for r in q["propagate_corpus"](spark, tmp_path).collect()] == [(1, "NAME_STUDENT", 2)]
+    assert {r.label: (r.removed, r.in_leaking_texts) for r in q["coppa_corpus"](spark, tmp_path).collect()} == {"NAME_STUDENT": (3, 0), "NAME_RELATED": (1, 0)}
