@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -31,13 +32,49 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+class Scratch:
+    """The intermediate tables of one run: written to the shared folder, dropped as soon as nothing needs them.
+
+    What is left, tables that a returned DataFrame still reads, goes when the program ends.
+    """
+
+    _left: set[Scratch] = set()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.root = spark, f"{shared_dir(spark)}/spanveil/{uuid.uuid4().hex}"
+        # Kept, so that what is left can still be dropped after the session has stopped.
+        self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        Scratch._left.add(self)
+
+    def path(self, what: str) -> str:
+        return f"{self.root}/{what}"
+
+    def stage(self, df: DataFrame, what: str) -> DataFrame:
+        """Write ``df`` as a table and read it back: the lineage ends there, and a lost executor costs only a re-read."""
+        df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(what))
+        return self.spark.read.schema(df.schema).parquet(self.path(what))
+
+    def drop(self, *what: str) -> None:
+        """Delete some of the tables, or all without a name."""
+        for name in what or ("",):
+            place = self._jvm.org.apache.hadoop.fs.Path(self.path(name).rstrip("/"))
+            place.getFileSystem(self._conf).delete(place, True)
+        if not what:
+            Scratch._left.discard(self)
+
+
+@atexit.register
+def _drop_left() -> None:
+    for scratch in list(Scratch._left):
+        try:
+            scratch.drop()
+        except Exception:  # noqa: BLE001  the session's process is gone: nothing can be deleted through it
+            return
+
+
 def stage(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: the lineage ends there,
-    and a lost executor costs only a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanveil/{what}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """One table in a folder of its own."""
+    return Scratch(df.sparkSession).stage(df, what)
 
 
 def busy(scan: DataFrame) -> DataFrame:
