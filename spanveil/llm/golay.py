@@ -47,3 +47,15 @@ def keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     near = words[:, None] ^ PATTERNS[syndrome]
     valid = np.arange(6) < NUMBER[syndrome][:, None]
     return (near >> np.uint32(11))[valid], np.nonzero(valid)[0]
+
+
+def share_chance(error: float) -> float:
+    """Chance that two words share a key if each bit differs with this probability, averaged over all pairs of words.
+
+    At bit errors of 0.25, those of one-bit minwise hashes at Jaccard similarity 0.5, it is 0.26; at 0.5, those of unrelated sets, 0.006.
+    """
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 1 << 23, 20_000)
+    flips = (rng.random((len(a), 23)) < error) @ (1 << np.arange(23))
+    both = [np.stack([at * 4096 + index]) for index, at in (keys(a), keys(a ^ flips))]
+    return len(np.unique(np.intersect1d(*both) // 4096)) / len(a)

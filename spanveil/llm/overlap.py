@@ -1,72 +1,122 @@
 """Exact set overlap of shingled records: shared ground of problems 2 and 5.
 
-Records with equal shingle sets form a *class*.  Candidates and verification work on classes, so copies cost
-nothing; pairs are expanded to documents only at the end.
+Records with equal shingle sets form a *class*, named by one of its rows.  Candidates and verification work on classes, so
+copies cost nothing; pairs are expanded to documents only at the end, in blocks.
+
+Counts of shingles and keys are kept in a *sketch*: a fixed number of cells, each the count of all values that hash to it, over
+all records.  It never counts a value too low, its size doesn't depend on the data, and so it may be sent to every task.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanveil.llm.textkit import class_of, record_text, shingle_hashes, word_hashes
-from spanveil.plans.session import stage
+from spanveil.llm.textkit import mix, record_text, shingles_of_batch
+from spanveil.plans.session import Scratch
+
+#: Cells of a sketch, as a power of two: 262,144 counts of 8 bytes, whatever the size of the data.
+CELL_BITS = 18
+#: Bits of a parity fingerprint, in words of 64.
+PARITY_WORDS = 16
+#: Rows of one key, or documents of one class, that meet in one block; larger groups are split into blocks.
+BLOCK = 2048
+FEATURES = "document bigint, split string, source string, name binary, n int, shingles array<bigint>, parity array<bigint>"
+
+
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64)))
 
-FEATURES = "document bigint, split string, source string, cls string, n int, shingles array<bigint>, keys array<bigint>"
 
+def parity(distinct: np.ndarray) -> np.ndarray:
+    """1,024 bits, each whether an odd number of a set's elements hash to it.  Two fingerprints differ in no more bits than their
+    sets do in elements."""
+    odd = np.bincount((distinct >> np.uint64(7)).astype(np.int64) & (64 * PARITY_WORDS - 1), minlength=64 * PARITY_WORDS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
-def features(records: DataFrame, size: int, keys_of: Callable) -> DataFrame:
-    """One row per record with at least ``size`` words and a ``document``: its class, its distinct shingles in
-    ascending order, and the candidate keys ``keys_of(word hashes, shingle hashes by position)``."""
 
-    def batches(it):
+def features(records: DataFrame, size: int, keys_of: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """One row per record with at least ``size`` words and a ``document``: name of its class, its distinct shingles in ascending
+    order and their parity fingerprint, with ``keys_of`` the candidate keys too.
+
+    Of the records of one class in a task only the first carries its set.
+    """
+    seen_limit = 1 << 20
+
+    def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache: dict = {}
+        seen: set = set()
+        none = np.empty(0, np.int64)
         for b in it:
-            keep, cls, sets, keys = [], [], [], []
-            for i, t in enumerate(b.column("_text").to_pylist()):
-                words = word_hashes(t, cache)
-                by_pos = shingle_hashes(words, size)
+            keep, names, sizes, sets, marks, keys = [], [], [], [], [], []
+            for i, by_pos in enumerate(shingles_of_batch(b.column("_text").to_pylist(), size, cache)):
                 if not len(by_pos):
                     continue
-                distinct = np.unique(by_pos.view(np.int64))
+                s = np.sort(by_pos)
+                s = s[np.concatenate([[True], s[1:] != s[:-1]])]
+                name = xxhash.xxh3_128_digest(s.tobytes())
+                fresh = name not in seen
+                if fresh:
+                    if len(seen) >= seen_limit:
+                        seen.clear()
+                    seen.add(name)
                 keep.append(i)
-                cls.append(class_of(distinct))
-                sets.append(distinct)
-                keys.append(keys_of(words, by_pos).view(np.int64))
+                names.append(name)
+                sizes.append(len(s))
+                sets.append(s.view(np.int64) if fresh else none)
+                marks.append(parity(s) if fresh else none)
+                if keys_of:
+                    keys.append(keys_of(s).view(np.int64) if fresh else none)
             rest = b.select(["document", "split", "source"]).take(pa.array(keep, pa.int64()))
-
-            def nested(x):
-                ends = np.cumsum([0] + [len(a) for a in x]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(x) if x else np.empty(0, np.int64)))
-
-            yield pa.RecordBatch.from_arrays(
-                [*rest.columns, pa.array(cls, pa.string()), pa.array([len(x) for x in sets], pa.int32()), nested(sets), nested(keys)],
-                ["document", "split", "source", "cls", "n", "shingles", "keys"],
-            )
+            columns = [*rest.columns, pa.array(names, pa.binary()), pa.array(sizes, pa.int32()), _lists(sets), _lists(marks)]
+            named = ["document", "split", "source", "name", "n", "shingles", "parity"]
+            if keys_of:
+                columns.append(_lists(keys))
+                named.append("keys")
+            yield pa.RecordBatch.from_arrays(columns, named)
 
     base = records.select("document", "split", "source", record_text().alias("_text"))
-    return base.filter("document is not null and _text is not null").mapInArrow(batches, FEATURES)
+    schema = FEATURES + (", keys array<bigint>" if keys_of else "")
+    return base.filter("document is not null and _text is not null").mapInArrow(batches, schema)
 
 
-def classes(feats: DataFrame, what: str) -> tuple[DataFrame, DataFrame]:
-    """Members (``document, split, source, cls``) and one row per class (``cls, n, shingles, keys``), ``cls`` now a number.
+def classes(records: DataFrame, scratch: Scratch, size: int, keys_of=None) -> tuple[DataFrame, DataFrame]:
+    """Members (``document, split, source, cls``, distinct) and one row per class (``cls, n, shingles, parity`` and ``keys``).
 
-    The numbers are given while the classes are written to a table, so they stay the same however often that is read.
+    ``cls`` is the number of the class's first row; only numbers and names are shuffled for it.
     """
-    one = feats.groupBy("cls").agg(F.first("n").alias("n"), F.first("shingles").alias("shingles"), F.first("keys").alias("keys"))
-    sets = stage(one.select(F.col("cls").alias("name"), F.monotonically_increasing_id().alias("cls"), "n", "shingles", "keys"), what)
-    members = feats.select("document", "split", "source", F.col("cls").alias("name")).distinct()
-    members = members.join(sets.select("name", "cls"), "name").drop("name")
-    return members, sets.drop("name")
+    feats = scratch.stage(features(records, size, keys_of).withColumn("row", F.monotonically_increasing_id()), "features")
+    firsts = scratch.stage(feats.groupBy("name").agg(F.min("row").alias("cls")), "classes")
+    members = feats.select("document", "split", "source", "name").distinct().join(firsts, "name").drop("name")
+    sets = feats.join(firsts.select("cls"), F.col("row") == F.col("cls"), "left_semi")
+    columns = ["n", "shingles", "parity", *(["keys"] if keys_of else [])]
+    return scratch.stage(members, "members"), sets.select(F.col("row").alias("cls"), *columns)
+
 
+def cell_of(values: np.ndarray) -> np.ndarray:
+    return (values.view(np.uint64) >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-def prefix_size(n, threshold: float):
-    """Leading elements of a sorted set of ``n`` of which one must be shared at this Jaccard similarity."""
-    return n - F.ceil(n * threshold - 1e-9).cast("int") + 1
+
+def sketch(values: DataFrame, value: str, *counts: Column) -> list[np.ndarray]:
+    """Counts of the cells over all rows of ``values``, one array per aggregate (``count(*)`` if none is given).
+
+    Aggregated in each task first; what reaches the driver are the cells.
+    """
+    wanted = counts or (F.count("*"),)
+    cell = F.shiftrightunsigned(F.col(value), 64 - CELL_BITS).cast("int").alias("cell")
+    rows = values.groupBy(cell).agg(*[c.cast("bigint").alias(f"c{i}") for i, c in enumerate(wanted)]).toArrow()
+    out = []
+    for i in range(len(wanted)):
+        cells = np.zeros(1 << CELL_BITS, np.int64)
+        cells[rows.column("cell").to_numpy()] = rows.column(f"c{i}").to_numpy()
+        out.append(cells)
+    return out
 
 
 def least_shared(n, other, threshold: float):
@@ -74,78 +124,114 @@ def least_shared(n, other, threshold: float):
     return F.ceil((n + other) * (threshold / (1 + threshold)) - 1e-9)
 
 
-def prefix_keys(sets: DataFrame, threshold: float) -> DataFrame:
-    """``cls, n, key, rest, first``: the elements of each set's prefix that other sets hold too, rarest first.
+def blocks(key: np.ndarray, own: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Key of block (i, j) of a key; that of the only block is the key itself."""
+    split = own > 1
+    return np.where(split, mix(key.view(np.uint64) + mix(i.astype(np.uint64) << np.uint64(32) | j.astype(np.uint64)) + np.uint64(1)).view(np.int64), key)
+
 
-    ``rest`` counts the set's elements behind this one, ``first`` marks the shorter prefix that does for a set that
-    is the smaller of its pair.  Two sets at ``threshold`` share at least the first element they have in common.
-    Elements of one set only come first of all; they are counted, not kept.
+def prefix_rows(sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``key, cls, n, rest, side``: the rarest elements of each set, as many as guarantee that sets of this similarity share one.
+
+    Rarity is that of the sketch, ties by hash: one order for all sets, which is all the guarantee needs.  ``rest`` counts the
+    set's elements from this one on.  An element whose cell counts one row is in one set only and is left out.  A key whose cell counts
+    more than ``block`` rows is split into blocks of rows; every row goes to the blocks it shares with the others, and ``side`` is
+    its own block, or -1 where all rows of a key meet.
+    """
+    counts = sets.sparkSession.sparkContext.broadcast(sketch(sets.select(F.explode("shingles").alias("v")), "v")[0])
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = counts.value
+        for b in it:
+            cls, flat = b.column("cls").to_numpy(), b.column("shingles").flatten().to_numpy()
+            ends = b.column("shingles").offsets.to_numpy()
+            ends = ends - ends[0]
+            often = cells[cell_of(flat)]
+            # Count above, hash below: equal upper hash bits keep the ascending order of the set in every set.
+            order = (np.minimum(often, (1 << 20) - 1).astype(np.uint64) << np.uint64(44)) | (mix(flat.view(np.uint64)) >> np.uint64(20))
+            at, left, owner = [], [], []
+            for k, (s, e) in enumerate(zip(ends[:-1], ends[1:])):
+                n = int(e - s)
+                m = n - int(np.ceil(n * threshold - 1e-9)) + 1
+                at.append(s + np.argsort(order[s:e], kind="stable")[:m])
+                left.append(n - np.arange(m))
+                owner.append(np.full(m, k))
+            if not at:
+                continue
+            at, left, owner = map(np.concatenate, (at, left, owner))
+            keep = often[at] > 1
+            at, left, owner = at[keep], left[keep], owner[keep]
+            key, size, cls, n = flat[at], -(-often[at] // block), cls[owner], np.diff(ends)[owner]
+            mine = (mix(cls.astype(np.uint64)) % size.astype(np.uint64)).astype(np.int64)
+            # The row once per block of its key, with the pair of blocks in ascending order.
+            again = np.repeat(np.arange(len(key)), size)
+            other = np.arange(len(again)) - np.repeat(np.cumsum(size) - size, size)
+            key, size, cls, n, left, mine = (x[again] for x in (key, size, cls, n, left, mine))
+            side = np.where(mine == other, -1, mine).astype(np.int32)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks(key, size, np.minimum(mine, other), np.maximum(mine, other))), pa.array(cls), pa.array(n.astype(np.int32)), pa.array(left.astype(np.int32)), pa.array(side)],
+                ["key", "cls", "n", "rest", "side"],
+            )
+
+    return sets.select("cls", "shingles").mapInArrow(run, "key bigint, cls bigint, n int, rest int, side int")
+
+
+def prefix_pairs(sets: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """``a, b`` (a < b, with repetitions): every pair of classes of this similarity, and some below.
+
+    Joined on the rarest elements.  The first element a pair shares lies in the shorter prefix of its smaller set, and from there on
+    both sets must still be long enough; other meetings are left out.
     """
-    each = sets.select("cls", "n", F.explode("shingles").alias("key"))
-    counts = each.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    common = each.join(counts, "key").groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("c", "key"))).alias("s"))
-    own = F.col("n") - F.size("s")
-    kept = F.greatest(prefix_size(F.col("n"), threshold) - own, F.lit(0))
-    short = F.col("n") - least_shared(F.col("n"), F.col("n"), threshold) + 1
-    rows = common.select("cls", "n", own.alias("own"), short.alias("short"), F.posexplode(F.slice("s", F.lit(1), kept)).alias("i", "e"))
-    at = F.col("own") + F.col("i")
-    return rows.select("cls", "n", F.col("e.key").alias("key"), (F.col("n") - at - 1).cast("int").alias("rest"), (at < F.col("short")).alias("first"))
-
-
-def prefix_bound(threshold: float):
-    """What a pair of rows of ``prefix_keys`` must meet if their key is the first element the two sets share."""
-    smaller = (F.col("l.first") & (F.col("l.n") <= F.col("r.n"))) | (F.col("r.first") & (F.col("r.n") <= F.col("l.n")))
-    return smaller & (F.least("l.rest", "r.rest") + 1 >= least_shared(F.col("l.n"), F.col("r.n"), threshold))
-
-
-def candidates(left: DataFrame, right: DataFrame, sets: DataFrame, threshold: float, hot: int, bound=None) -> DataFrame:
-    """Distinct ``a, b`` that share a key.  ``left`` and ``right``: ``cls, n, key``; pass the same frame twice for
-    pairs within one collection (``a < b`` then).
-
-    Keys on one row pair nothing and go first.  A bucket of more than ``hot`` rows isn't paired as it is: its rows
-    are joined on (key, element of the sorted set's prefix), which loses no pair of the bucket at ``threshold``.
-    ``bound``: a further condition on the two rows, ``l`` and ``r``.
+    keys = prefix_rows(sets, threshold, block)
+    l, r = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
+    # Both sides are the same shuffle, so conditions on one side stay in the join.
+    short = lambda x: x("rest") >= least_shared(x("n"), x("n"), threshold)
+    smaller = F.when(l("n") < r("n"), short(l)).when(r("n") < l("n"), short(r)).otherwise(short(l) | short(r))
+    fit = (
+        (l("key") == r("key")) & (l("cls") < r("cls")) & ((l("side") != r("side")) | (l("side") == -1))
+        & (F.least(l("rest"), r("rest")) >= least_shared(l("n"), r("n"), threshold)) & smaller
+        & (F.least(l("n"), r("n")) >= F.greatest(l("n"), r("n")) * threshold - 1e-9)
+    )
+    return keys.alias("l").hint("merge").join(keys.alias("r"), fit).select(l("cls").alias("a"), r("cls").alias("b"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """``a, b, jaccard`` of the pairs whose exact similarity reaches the threshold.
+
+    First by parity fingerprints, which never rule out a pair of the threshold; then the sets of what is left are fetched and intersected.
+    Spark broadcasts a side of a join only where its size, known from the table's files, is under its limit.
     """
-    own = left is right
-    if own:
-        counts = left.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
-    else:
-        counts = (
-            left.groupBy("key").agg(F.count("*").alias("l"))
-            .join(right.groupBy("key").agg(F.count("*").alias("r")), "key")
-            .select("key", (F.col("l") + F.col("r")).alias("c"))
-        )
-    counts = stage(counts, "buckets")
-    sides = [side.join(counts, "key") for side in ((left,) if own else (left, right))]
-    l, r = sides[0], sides[-1]
-    fit = F.least("l.n", "r.n") >= F.greatest("l.n", "r.n") * threshold - 1e-9
-    order = F.col("l.cls") < F.col("r.cls") if own else F.col("l.cls") != F.col("r.cls")
-    if bound is not None:
-        fit = fit & bound
-
-    def pairs(x, y, on):
-        same = [F.col(f"l.{c}") == F.col(f"r.{c}") for c in on]
-        cond = same[0]
-        for c in same[1:]:
-            cond = cond & c
-        return x.alias("l").join(y.alias("r"), cond & fit & order).select(F.col("l.cls").alias("a"), F.col("r.cls").alias("b"))
-
-    def opened(side):
-        wide = side.filter(f"c > {hot}").join(sets.select("cls", "shingles"), "cls")
-        return wide.select(*left.columns, F.explode(F.slice("shingles", 1, prefix_size(F.col("n"), threshold))).alias("tok"))
-
-    found = pairs(l.filter(f"c <= {hot}"), r.filter(f"c <= {hot}"), ["key"])
-    # The second way enters the plan only where there is something for it to do.
-    if counts.filter(f"c > {hot}").limit(1).count():
-        found = found.unionAll(pairs(opened(l), opened(r), ["key", "tok"]))
-    return found.distinct()
-
-
-def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """``a, b, jaccard`` of the pairs whose exact similarity reaches the threshold."""
-    x = sets.select(F.col("cls").alias("a"), F.col("n").alias("na"), F.col("shingles").alias("sa"))
-    y = sets.select(F.col("cls").alias("b"), F.col("n").alias("nb"), F.col("shingles").alias("sb"))
+    marks = scratch.stage(sets.select("cls", "n", "parity"), "marks")
+
+    def side(s: DataFrame, name: str, what: str) -> DataFrame:
+        return s.select(F.col("cls").alias(name), F.col("n").alias(f"n{name}"), F.col(what).alias(f"s{name}"))
+
+    near = pairs.join(side(marks, "a", "parity"), "a").join(side(marks, "b", "parity"), "b")
+    apart = sum((F.bit_count(F.get("sa", k).bitwiseXOR(F.get("sb", k))) for k in range(PARITY_WORDS)), F.lit(0))
+    total = F.col("na") + F.col("nb")
+    near = near.filter(apart <= total - 2 * least_shared(F.col("na"), F.col("nb"), threshold)).select("a", "b").distinct()
+    near = scratch.stage(near, "near")
+    named = near.select(F.col("a").alias("cls")).unionAll(near.select(F.col("b").alias("cls"))).distinct()
+    wanted = sets.join(scratch.stage(named, "named"), "cls", "left_semi")
     both = F.size(F.array_intersect("sa", "sb"))
-    joined = pairs.join(x, "a").join(y, "b").select("a", "b", "na", "nb", both.alias("i"))
+    joined = near.join(side(wanted, "a", "shingles"), "a").join(side(wanted, "b", "shingles"), "b").select("a", "b", "na", "nb", both.alias("i"))
     joined = joined.select("a", "b", (F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))).alias("jaccard"))
-    return joined.filter(F.col("jaccard") >= threshold)
+    return scratch.stage(joined.filter(F.col("jaccard") >= threshold), "links")
+
+
+def expanded(links: DataFrame, left: DataFrame, right: DataFrame, block: int = BLOCK) -> DataFrame:
+    """Links of classes (``a, b``) as rows of their members: ``left`` has ``a, da`` and more, ``right`` ``b, db`` and more.
+
+    Classes of more than ``block`` members are split, and a link becomes one row per pair of blocks, so no task gets a whole group of
+    copies.
+    """
+
+    def split(side: DataFrame, cls: str, doc: str, at: str) -> tuple[DataFrame, DataFrame]:
+        sizes = side.groupBy(cls).agg(F.ceil(F.count("*") / block).cast("int").alias(f"_n{at}"))
+        return sizes, side.join(sizes, cls).withColumn(at, F.pmod(F.xxhash64(doc), F.col(f"_n{at}")).cast("int")).drop(f"_n{at}")
+
+    ns, l = split(left, "a", "da", "_i")
+    ms, r = split(right, "b", "db", "_j")
+    rows = links.select("a", "b").join(ns, "a").join(ms, "b")
+    rows = rows.withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n_i") - 1))).withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_n_j") - 1)))
+    return rows.drop("_n_i", "_n_j").join(l, ["a", "_i"]).join(r, ["b", "_j"]).drop("_i", "_j")

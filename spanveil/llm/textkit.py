@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import xxhash
@@ -35,17 +36,19 @@ def record_text(full_text="full_text", tokens="tokens", spaces="trailing_whitesp
     return F.coalesce(F.col(full_text), joined)
 
 
-def word_hashes(text: str, cache: dict) -> np.ndarray:
-    """64-bit hash of each word of the text, in order.  ``cache`` is cleared when it grows too large."""
+def word_hashes(texts: list[str], cache: dict) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hash of each word of some texts, in order, and the number of words of each.  ``cache`` is cleared when it grows too large."""
     if len(cache) > CACHE_LIMIT:
         cache.clear()
-    out = []
-    for w in WORD.findall(text.lower()):
-        h = cache.get(w)
-        if h is None:
-            h = cache[w] = xxhash.xxh3_64_intdigest(w)
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
+    flat: list[str] = []
+    counts = np.empty(len(texts), np.int64)
+    for i, t in enumerate(texts):
+        words = WORD.findall(t.lower())
+        counts[i] = len(words)
+        flat += words
+    for w in set(flat).difference(cache):
+        cache[w] = xxhash.xxh3_64_intdigest(w)
+    return np.fromiter(map(cache.__getitem__, flat), np.uint64, len(flat)), counts
 
 
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -69,6 +72,10 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return acc
 
 
-def class_of(distinct: np.ndarray) -> str:
-    """Name of a shingle set: texts with equal sets share it."""
-    return xxhash.xxh3_128_hexdigest(distinct.tobytes())
+def shingles_of_batch(texts: list[str], size: int, cache: dict, batch: int = 256) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text by position, computed for a few texts at a time."""
+    for k in range(0, len(texts), batch):
+        words, counts = word_hashes(texts[k : k + batch], cache)
+        every = shingle_hashes(words, size)
+        for begin, n in zip(np.cumsum(counts) - counts, counts):
+            yield every[begin : begin + max(0, n - size + 1)]
