@@ -63,25 +63,47 @@ def _placed_in_blocks(rows: Column) -> Column:
     return let(cuts, whole)
 
 
-def hits(text: Column, pattern: str | Column, groups: int = 0, many: bool = False) -> Column:
-    """Every match of a pattern: ``start, end, text, groups``.
+#: Noncharacters of Unicode that mark matches, their groups and their ends in a text; ``unmarked`` keeps them out of texts.
+OPEN, SEP, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
 
-    The gaps between matches and the matches themselves come from the same scan order, so a fold over both gives
-    offsets.  Groups that took no part are ''.  ``many`` expects hundreds of matches or more in a text.
+
+def unmarked(text: Column) -> Column:
+    """A text without the marks of ``hits``: replaced one for one, so offsets stay."""
+    return F.when(text.rlike(f"[{OPEN}-{CLOSE}]"), F.translate(text, OPEN + SEP + CLOSE, "\ufffd" * 3)).otherwise(text)
+
+
+def hits(text: Column, pattern: str | Column, groups: int = 0) -> Column:
+    """Every match of a pattern: ``start, end, text, groups``; groups that took no part are ''.
+
+    One scan: matches and groups are marked in the text, and a fold over the marked pieces gives offsets.  The text
+    must be ``unmarked``.
     """
-    p = F.lit(pattern) if isinstance(pattern, str) else pattern
-    gaps = F.split(text, pattern if isinstance(pattern, str) else p, -1)
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    rows = F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("g"), h.alias("h")))
-    out = let(rows, _placed_in_blocks) if many else _placed(rows, F.lit(0))
-    if not groups:
-        return F.transform(out, lambda h: F.struct(h.start.alias("start"), h.end.alias("end"), h.text.alias("text"), F.array().cast("array<string>").alias("groups")))
-    zipped = F.arrays_zip(*[F.regexp_extract_all(text, p, F.lit(k)).alias(f"g{k}") for k in range(1, groups + 1)])
-
-    def join(h: Column, g: Column) -> Column:
-        return F.struct(h.start.alias("start"), h.end.alias("end"), h.text.alias("text"), F.array(*[g[f"g{k}"] for k in range(1, groups + 1)]).alias("groups"))
-
-    return F.zip_with(out, zipped, join)
+    marks = OPEN + SEP.join(f"${k}" for k in range(groups + 1)) + CLOSE
+    return let(F.regexp_replace(text, pattern, F.lit(marks)), lambda m: F.when(m.contains(OPEN), _read(m)).otherwise(F.array().cast(HIT_DDL)))
+
+
+def _read(marked: Column) -> Column:
+    def rows(pieces: Column) -> Column:
+        cut = F.transform(F.slice(pieces, 2, F.size(pieces)), lambda p: F.split(p, CLOSE, 2))
+        first = F.struct(F.length(pieces[0]).alias("at"), F.array().cast(HIT_DDL).alias("out"))
+
+        def step(acc: Column, x: Column) -> Column:
+            def put(fields: Column) -> Column:
+                end = acc.at + F.length(fields[0])
+                one = F.struct(acc.at.alias("start"), end.alias("end"), fields[0].alias("text"), F.slice(fields, 2, F.size(fields)).alias("groups"))
+                return F.struct((end + F.length(x[1])).alias("at"), F.array_append(acc.out, one).alias("out"))
+
+            return let(F.split(x[0], SEP, -1), put)
+
+        return F.aggregate(cut, first, step, lambda acc: acc.out)
+
+    return let(F.split(marked, OPEN, -1), rows)
+
+
+def pieces(text: Column, pattern: str) -> Column:
+    """Every match of a pattern that has hundreds of them or more in a text: ``start, end, text``."""
+    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return let(F.zip_with(gaps, found, lambda g, h: F.struct(g.alias("g"), h.alias("h"))), _placed_in_blocks)
 
 
 def trimmed(value: Column) -> Column:

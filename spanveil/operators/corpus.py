@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanveil.functions import lexicon as X
-from spanveil.functions.spans import hits, let
+from spanveil.functions.spans import hits, let, pieces
 from spanveil.plans.session import stage
 from spanveil.schema import CLASS_IDS
 
@@ -114,7 +114,7 @@ def char_labels(tokens: Column, spaces: Column, labels: Column) -> Column:
 
 def tokenise(text: Column) -> Column:
     """Runs of word characters and single other characters, with offsets."""
-    return F.transform(hits(text, X.TOKEN, many=True), lambda h: F.struct(h["text"].alias("token"), h["start"].alias("start"), h["end"].alias("end")))
+    return F.transform(pieces(text, X.TOKEN), lambda h: F.struct(h["text"].alias("token"), h["start"].alias("start"), h["end"].alias("end")))
 
 
 def unmark(marked: Column) -> Column:

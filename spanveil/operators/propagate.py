@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanveil.functions import lexicon as X
-from spanveil.functions.spans import hits, no_spans, quoted, union
+from spanveil.functions.spans import hits, let, no_spans, quoted, union
 from spanveil.operators.detectors import STOP_WORD
 from spanveil.schema import NAME_LABELS
 
@@ -42,35 +42,50 @@ def needles(spans: Column, least_part: int = LEAST_PART, least_model: float = LE
     )
 
 
+# Nothing that goes on with the word may follow a name: no word character, and no apostrophe but in "'s".
+AFTER = r"(?!\w|['’](?!s\b)\w)"
+
+
 def mentions(text: Column, wanted: Column) -> Column:
-    """Spans of every needle as a whole word; "'s" may follow, other apostrophes may not touch it."""
+    """Spans of every needle as a whole word; "'s" may follow, other apostrophes may not touch it.
+
+    One scan for the places where any needle begins; all needles are then held against each place.
+    """
+    some = F.array_join(F.transform(wanted, lambda n: quoted(n.needle)), "|")
+    places = hits(text, F.concat(F.lit(X.FLAGS + r"(?<![\w'’])(?=(?:"), some, F.lit(")" + AFTER + ")")))
+
+    def here(h: Column) -> Column:
+        def fits(n: Column) -> Column:
+            size = F.length(n.needle)
+            rest = F.substring(text, h["start"] + size + 1, F.lit(3))
+            return (F.substring(text, h["start"] + 1, size) == n.needle) & rest.rlike(X.FLAGS + "^" + AFTER)
 
-    def of(n: Column, i: Column) -> Column:
-        pattern = F.concat(F.lit(X.FLAGS + r"(?<![\w'’])"), quoted(n.needle), F.lit(r"(?!\w|['’](?!s\b)\w)"))
         return F.transform(
-            hits(text, pattern),
-            lambda h: F.struct(
+            F.filter(wanted, fits),
+            lambda n: F.struct(
                 n.label.alias("label"),
-                h["text"].alias("text"),
+                n.needle.alias("text"),
                 h["start"].alias("start"),
-                h["end"].alias("end"),
+                (h["start"] + F.length(n.needle)).cast("int").alias("end"),
                 n.conf.cast("double").alias("confidence"),
                 F.lit("propagated").alias("source"),
-                (F.lit(40_000_000) + i).cast("int").alias("seq"),
+                F.lit(40_000_000).alias("seq"),
             ),
         )
 
-    return F.flatten(F.transform(wanted, of))
+    return F.flatten(F.transform(places, here))
 
 
 def propagate(text: Column, spans: Column, wanted: Column) -> Column:
     """The spans and every other mention of their names (``wanted``: the needles, as a column of their own)."""
-    new = F.filter(
-        mentions(text, wanted),
-        lambda m: ~F.exists(
-            spans,
-            lambda k: ((k["start"] == m["start"]) & (k["end"] == m["end"]))
-            | (~k.label.isin(*NAME_LABELS) & (k["start"] <= m["start"]) & (m["end"] <= k["end"])),
-        ),
-    )
-    return union([spans, F.when(F.size(wanted) > 0, new).otherwise(no_spans())])
+    def new(known: Column) -> Column:
+        return F.filter(
+            mentions(text, wanted),
+            lambda m: ~F.exists(
+                known,
+                lambda k: ((k["start"] == m["start"]) & (k["end"] == m["end"]))
+                | (~k.label.isin(*NAME_LABELS) & (k["start"] <= m["start"]) & (m["end"] <= k["end"])),
+            ),
+        )
+
+    return union([spans, F.when(F.size(wanted) > 0, let(spans, new)).otherwise(no_spans())])

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 import spanveil
-from spanveil.functions.spans import by_start, fenced, no_spans, quoted
+from spanveil.functions.spans import by_start, fenced, let, no_spans, quoted
 from spanveil.operators.policy import METHODS
 from spanveil.schema import AUTHORITY_LABELS, SPANS_DDL
 
@@ -16,6 +16,7 @@ from spanveil.schema import AUTHORITY_LABELS, SPANS_DDL
 SALT, HASH_LENGTH, LEAST_LEAK = "spanveil", 10, 3
 FIRST = "Ada Bela Cato Dina Enzo Fay Gus Hedy Ivo Jana Kip Lena Milo Nora Otis Pia Rolf Sia Theo Uma Vito Wanda Xeno Yves Zora".split()
 LAST = "Abel Birch Crane Drum Elm Frost Gale Heath Ives Jarvis Kline Lark Marsh North Oaks Pratt Quist Reeve Stone Thorn Upton Vance West York Zeller".split()
+ENDINGS = "bank bell bourne bury by combe dale den field ford gate ham hurst land ley man mere more ridge shaw son ton well wick".split()
 STREETS = "Amber Birch Cedar Dogwood Elder Fir Gorse Hazel Ivy Juniper".split()
 KINDS = "Street Avenue Road Lane Court".split()
 DATE_FORMATS = (("M/d/yyyy", "MM/dd/yyyy"), ("M-d-yyyy", "MM-dd-yyyy"), ("yyyy-M-d", "yyyy-MM-dd"), ("MMMM d, yyyy", "MMMM dd, yyyy"), ("MMM d, yyyy", "MMM dd, yyyy"), ("MMMM d yyyy", "MMMM dd yyyy"))
@@ -58,8 +59,10 @@ def surrogate(label: Column, value: Column, seed: int = 0) -> Column:
         user = F.concat(F.lower(pick(FIRST, "u")), number(3, "u"))
         digits = F.length(F.regexp_replace(value, r"(?U)\D", ""))
         date = F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.pmod(F.xxhash64(F.lit(seed), F.lit(turn), same), F.lit(18262)).cast("int")), "MM/dd/yyyy")
+        # A family name of two parts: 24 first names by 24 by 24 endings.
+        family = F.concat(pick(LAST, "l"), pick(ENDINGS, "e"))
         return (
-            F.when(label.isin("NAME_STUDENT", "NAME_RELATED"), F.when(F.trim(value).rlike(r"(?U)\s"), F.concat_ws(" ", pick(FIRST, "f"), pick(LAST, "l"))).otherwise(pick(FIRST, "f")))
+            F.when(label.isin("NAME_STUDENT", "NAME_RELATED"), F.when(F.trim(value).rlike(r"(?U)\s"), F.concat_ws(" ", pick(FIRST, "f"), family)).otherwise(pick(FIRST, "f")))
             .when(label == "EMAIL", F.concat(user, F.lit("@mail.example.com")))
             .when(label == "USERNAME", user)
             .when(label == "ID_NUM", number(F.greatest(F.lit(6), digits), "i"))
@@ -71,8 +74,17 @@ def surrogate(label: Column, value: Column, seed: int = 0) -> Column:
             .otherwise(F.concat(F.lit("["), label, F.lit("]")))
         )
 
-    one = made(0)
-    return F.when(one != value, one).otherwise(made(1))
+    return let(made(0), lambda one: F.when(one != value, one).otherwise(_other(label, one)))
+
+
+def _other(label: Column, made: Column) -> Column:
+    """A value of the same shape that differs from a given one: its last digit or, without any, its first word changed to the next one."""
+    digit = F.regexp_extract(made, r"(\d)\D*\z", 1)
+    turned = F.regexp_replace(made, r"\d(\D*)\z", F.concat(F.pmod(digit.cast("int") + 1, F.lit(10)).cast("string"), F.lit("$1")))
+    first = F.substring_index(made, " ", 1)
+    following = F.create_map(*[F.lit(x) for k, w in enumerate(FIRST) for x in (w, FIRST[(k + 1) % len(FIRST)])])
+    renamed = F.concat(F.coalesce(F.try_element_at(following, first), F.concat(F.lit("New "), first)), F.substring(made, F.length(first) + 1, F.length(made)))
+    return F.when(digit != "", turned).when(made.startswith("["), F.concat(F.lit("["), label, F.lit("_X]"))).otherwise(renamed)
 
 
 def label_rule(policy: Column, label: Column) -> Column:
@@ -150,7 +162,8 @@ def leaks_in(text: Column, values: Column) -> Column:
     """Values of three characters or more that stand in a text as whole words, once each, in order."""
     clean = F.transform(values, lambda v: F.regexp_replace(v, r"(?U)^\s+|\s+\z", ""))
     return F.array_distinct(
-        F.filter(clean, lambda v: (F.length(v) >= LEAST_LEAK) & F.regexp_like(text, F.concat(F.lit(r"(?U)(?<!\w)"), quoted(v), F.lit(r"(?!\w)"))))
+        # Plain containment first: a pattern of its own is made only for the few values that are there at all.
+        F.filter(clean, lambda v: (F.length(v) >= LEAST_LEAK) & F.contains(text, v) & F.regexp_like(text, F.concat(F.lit(r"(?U)(?<!\w)"), quoted(v), F.lit(r"(?!\w)"))))
     )
 
 
@@ -179,6 +192,8 @@ def apply(
     salt: str = SALT,
     policy_sha256: Column | None = None,
     detector: str | None = "detector",
+    o_threshold: float | None = None,
+    authority: Collection[str] = AUTHORITY_LABELS,
     verify: bool = True,
     methods: Collection[str] = METHODS,
 ) -> DataFrame:
@@ -220,8 +235,8 @@ def apply(
             F.sha2(F.coalesce(F.col("deidentified_text"), F.lit("")), 256).alias("output_sha256"),
             F.size("leaks").cast("bigint").alias("leaks_found"),
             model.alias("detector"),
-            F.when(model == "rules", F.array().cast("array<string>")).otherwise(F.array(*[F.lit(l) for l in sorted(AUTHORITY_LABELS)])).alias("model_authority"),
-            F.lit(None).cast("double").alias("o_threshold"),
+            F.when(model == "rules", F.array().cast("array<string>")).otherwise(F.array(*[F.lit(l) for l in sorted(authority)]).cast("array<string>")).alias("model_authority"),
+            F.lit(o_threshold).cast("double").alias("o_threshold"),
             F.lit(verify).alias("verified"),
         ),
     )

@@ -2,16 +2,26 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanveil.functions.spans import fenced, no_spans, resolve
-from spanveil.operators import detectors, propagate as names
+from spanveil.operators import detectors, propagate as names, scorer
 from spanveil.schema import ALL_LABELS, AUTHORITY_LABELS, SPANS_DDL
 
 
+@dataclass(frozen=True)
+class Model:
+    """A token classifier: the id it is known by, what loads it on a worker, and its classes in order."""
+
+    name: str
+    load: Callable
+    classes: Sequence[str]
+
+
 def analyze(
     df: DataFrame,
     text: str = "text",
@@ -21,14 +31,27 @@ def analyze(
     propagate: bool = True,
     authority: Iterable[str] = AUTHORITY_LABELS,
     out: str = "spans",
+    model: Model | None = None,
+    model_name: str | None = None,
+    threshold: float = 0.5,
+    o_threshold: float | None = None,
 ) -> DataFrame:
-    """Add the array of spans of a text column.
+    """Add the array of spans of a text column, and ``detector``, what made them.
 
+    With a ``model`` its spans are added, at ``threshold`` or, with ``o_threshold``, wherever P(O) is below that.  ``model_name`` "rules"
+    leaves it out; a model asked for by its name must load, otherwise rules run alone when it can't (``scorer.model_gate``).
     ``model_spans`` names a column of spans a scorer has made; then the labels of ``authority`` come from it alone and
     their detectors stay out of the plan.  An empty ``labels`` means all.  A null text has no spans.
     """
+    if model_name not in (None, "rules") and (model is None or model.name != model_name):
+        raise scorer.ModelUnavailable(f"model {model_name!r} is not available")
+    ran = "rules" if model_spans is None else "model"
+    if model_spans is None and scorer.model_gate(model_name, model and model.load) == "model":
+        df = scorer.detect_model(df, model.load, model.classes, text, model.name, threshold, o_threshold, out="_model_spans")
+        model_spans, ran = "_model_spans", model.name
     wanted = list(labels or ())
-    rule_labels = [l for l in (wanted or ALL_LABELS) if model_spans is None or l not in set(authority or ())]
+    authority = set(authority or ())
+    rule_labels = [l for l in (wanted or ALL_LABELS) if model_spans is None or l not in authority]
     t = F.col(text)
     found = detectors.detect(t, rule_labels) if use_rules and rule_labels else no_spans()
     if model_spans is not None:
@@ -43,8 +66,7 @@ def analyze(
         df = fenced(df, out, F.when(t.isNull(), no_spans()).otherwise(every)).drop("_needles")
     else:
         df = fenced(df, out, resolve(F.col("_found")))
-    detector = "rules" if model_spans is None else "model"
-    return df.drop("_found").withColumn("detector", F.lit(detector))
+    return df.drop("_found", "_model_spans").withColumn("detector", F.lit(ran))
 
 
 def exploded(df: DataFrame, keys: list[str], spans: str = "spans") -> DataFrame:
@@ -75,9 +97,13 @@ def deidentify(
     method=None,
     model_spans: str | None = None,
     verify: bool = True,
+    model: Model | None = None,
+    model_name: str | None = None,
+    threshold: float = 0.5,
+    o_threshold: float | None = None,
     **options,
 ) -> DataFrame:
-    """Detect and transform.
+    """Detect and transform; the audit record says which model and threshold on P(O) were used.
 
     ``policy`` is the name or path of one policy, or a table of policies that ``policy_name`` (a column of ``df``) looks up; a row
     whose policy is not in the table gets nothing acted on.  ``verify`` makes the query fail on a leak; use
@@ -86,7 +112,8 @@ def deidentify(
     from spanveil.operators import policy as policies
     from spanveil.operators import redact
 
-    found = analyze(df, text, model_spans=model_spans)
+    found = analyze(df, text, model_spans=model_spans, model=model, model_name=model_name, threshold=threshold, o_threshold=o_threshold)
+    options["o_threshold"] = o_threshold
     if isinstance(policy, str):
         sha = F.lit(policies.fingerprint(policy))
         chosen = policies.load(policy)

@@ -514,7 +514,7 @@ def quant_agree(spark, d):
 
 def win(spark, d):
     """Windows of every document, and whether the kept ranges tile it."""
-    w = busy(table(spark, d, "documents")).filter("text is not null").select("doc_id", "text", scorer.windows("text").alias("w"))
+    w = busy(table(spark, d, "documents")).filter("text is not null").select("doc_id", "text", scorer.windows(F.col("text")).alias("w"))
     covered = F.aggregate("w", F.lit(0), lambda a, x: a + x["keep_to"] - x["keep_from"])
     return w.select("doc_id", F.size("w").cast("bigint").alias("windows"), (covered == F.length("text")).alias("tiles"))
 
@@ -523,25 +523,27 @@ STUB_CLASSES = ["O", *[c for c in CLASS_IDS if c != "O"]]
 
 
 def _stub():
-    """A deterministic predictor: numbers of seven digits or more are ID_NUM, words after "called" names."""
+    """A deterministic predictor: numbers of seven digits or more are ID_NUM, words after "My name is " names."""
     import re
 
-    def predict(chunk):
-        offsets, scores = [], []
-        k = {"ID_NUM": STUB_CLASSES.index("B-ID_NUM"), "NAME": STUB_CLASSES.index("B-NAME_STUDENT")}
-        for m in re.finditer(r"\d{7,}|(?<=My name is )\w+|\w+", chunk):
-            hit = k["ID_NUM"] if m.group().isdigit() and len(m.group()) >= 7 else k["NAME"] if chunk[max(0, m.start() - 11) : m.start()] == "My name is " else 0
-            offsets.append(m.span())
-            scores.append([0.9 if i == hit else 0.1 / (len(STUB_CLASSES) - 1) for i in range(len(STUB_CLASSES))])
-        return offsets, scores
+    import numpy as np
 
-    return predict
+    word, name, number = re.compile(r"\w+"), STUB_CLASSES.index("B-NAME_STUDENT"), STUB_CLASSES.index("B-ID_NUM")
+
+    def one(chunk):
+        found = list(word.finditer(chunk))
+        scores = np.full((len(found), len(STUB_CLASSES)), 0.1 / (len(STUB_CLASSES) - 1))
+        for i, m in enumerate(found):
+            scores[i, number if m.group().isdigit() and len(m.group()) >= 7 else name if chunk.endswith("My name is ", 0, m.start()) else 0] = 0.9
+        return np.array([m.span() for m in found]).reshape(-1, 2), scores
+
+    return lambda chunks: [one(c) for c in chunks]
 
 
 def model_authority(spark, d):
     """Labels per source when a scorer has run: it alone decides the labels it is the authority for."""
     docs = _labelled_texts(spark, d).dropDuplicates(["document"]).na.fill({"text": ""})
-    df = scorer.detect_model(docs, _stub, STUB_CLASSES)
+    df = scorer.detect_model(docs, _stub, STUB_CLASSES, name="stub")
     return exploded(analyze(df, model_spans="model_spans"), ["document"]).groupBy("label", "source").agg(F.count("*").alias("n"))
 
 
@@ -679,7 +681,7 @@ def spoken_email(spark, d):
 def decode(spark, d):
     """Decoded spans of a deterministic scorer over all labelled documents."""
     docs = _labelled_texts(spark, d).filter("text is not null").dropDuplicates(["document"])
-    out = scorer.detect_model(docs, _stub, STUB_CLASSES).select("document", F.explode_outer("model_spans").alias("s")).filter("s is not null")
+    out = scorer.detect_model(docs, _stub, STUB_CLASSES, name="stub").select("document", F.explode_outer("model_spans").alias("s")).filter("s is not null")
     return out.select("document", "s.label", "s.start", "s.end", "s.text", F.round("s.confidence", 4).alias("confidence"))
 
 

@@ -1,3 +1,6 @@
+import re
+
+import pytest
 from pyspark.sql import functions as F
 
 from spanveil.operators import corpus, generators, metrics, scorer
@@ -57,35 +60,97 @@ def test_scores(spark):
 
 
 def test_windows_tile(spark):
-    text = ("word " * 100 + "\n") * 30
-    for t in (text, "x" * 5000, "", "short"):
-        w = scorer.window_spans(t, 700, 100)
-        assert w[0][2] == 0 and w[-1][3] == len(t) and all(a[3] == b[2] for a, b in zip(w, w[1:]))
-        assert all(b[0] < a[1] or len(w) == 1 for a, b in zip(w, w[1:])) and all(e - s <= 700 for s, e, _, _ in w)
+    texts = [("word " * 100 + "\n") * 30, "x" * 5000, "", "short", "a\u3000b " * 900 + "\n" + "é" * 900]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t string").select("t", scorer.windows(F.col("t"), 700, 100).alias("w"))
+    for t, w in df.collect():
+        if t is None:
+            assert w is None
+            continue
+        assert w[0].keep_from == 0 and w[-1].keep_to == len(t) and all(a.keep_to == b.keep_from for a, b in zip(w, w[1:]))
+        assert all(b.start < a.end and a.start < b.start for a, b in zip(w, w[1:])) and all(x.end - x.start <= 700 for x in w)
+        # Only a text without any place to cut is cut inside a word.
+        assert "x" * 700 in t or "é" * 300 in t or all(t[x.end - 1].isspace() for x in w[:-1])
+    first = df.collect()[0].w[0]
+    assert texts[0][first.end - 1] == "\n"
 
 
 def test_decode_and_model(spark):
-    text = "By Ona Vale, C. a@b.example"
+    text = "By Ona Vale, C. <a@b.example>, 7"
     hot = lambda k, p=0.9: [p if i == k else (1 - p) / 3 for i in range(4)]
-    toks = [(0, 0, hot(0)), (0, 2, hot(0)), (2, 6, hot(1)), (7, 11, hot(2)), (13, 14, hot(1)), (16, 18, hot(3))]
-    got = [(s["label"], s["text"]) for s in scorer.decode_spans(text, toks, CLASSES)]
-    assert got == [("NAME_STUDENT", "Ona Vale"), ("EMAIL", "a@b.example")]
-    assert scorer.decode_spans(text, [(3, 6, [0.6, 0.4, 0.0, 0.0])], CLASSES) == []
-    weak = scorer.decode_spans(text, [(3, 6, [0.6, 0.4, 0.0, 0.0])], CLASSES, o_threshold=0.7)
-    assert [(s["text"], round(s["confidence"], 3)) for s in weak] == [("Ona", 0.4)]
+    toks = [(0, 0, hot(0)), (0, 2, hot(0)), (2, 6, hot(1)), (7, 11, hot(2)), (13, 14, hot(1)), (18, 19, hot(3)), (22, 25, hot(3, 0.8))]
+    weak = [(3, 6, [0.6, 0.4, 0.0, 0.0])]
+    rows = [(1, text, toks), (2, text, weak), (3, None, toks), (4, text, None), (5, "", [])]
+    df = spark.createDataFrame(rows, f"id int, text string, tokens {scorer.TOKENS_DDL}")
+    t, x = F.col("text"), F.col("tokens")
+    df = df.select("id", scorer.decode(t, scorer.chosen(x), CLASSES).alias("a"), scorer.decode(t, scorer.chosen(x, 0, 0.7), CLASSES, None).alias("b"))
+    got = {r.id: r for r in df.collect()}
+    # The address grows from each of its pieces, and the pieces join at the lower confidence.
+    assert [(s["label"], s["text"], round(s["confidence"], 3)) for s in got[1].a] == [("NAME_STUDENT", "Ona Vale", 0.9), ("EMAIL", "a@b.example", 0.8)]
+    assert got[2].a == [] and [(s["text"], round(s["confidence"], 3)) for s in got[2].b] == [("Ona", 0.4)]
+    assert got[3].a is None and got[4].a is None and got[5].a == []
 
     def load():
-        def predict(chunk):
+        import numpy as np
+
+        def one(chunk):
             at = chunk.find("Zed")
-            return ([(at, at + 3)], [hot(1)]) if at >= 0 else ([], [])
+            return (np.array([(at, at + 3)]), np.array([hot(1)])) if at >= 0 else (np.empty((0, 2), int), np.empty((0, 4)))
 
-        return predict
+        return lambda chunks: [one(c) for c in chunks]
 
     df = spark.createDataFrame([(1, "a " * 1200 + "Zed " + "b " * 1200), (2, None), (3, "")], "id int, text string")
     out = {r.id: r.model_spans for r in scorer.detect_model(df, load, CLASSES).collect()}
     assert [(s["start"], s["text"]) for s in out[1]] == [(2400, "Zed")] and out[2] is None and out[3] == []
 
 
+def test_predictors():
+    import numpy as np
+
+    sizes = []
+
+    def words(chunks):
+        sizes.append(len(chunks))
+        found = [[m.span() for m in re.finditer(r"\S+", c)] for c in chunks]
+        return [(np.array(f).reshape(-1, 2), np.ones((len(f), 1))) for f in found]
+
+    dense = "ab " * 300
+    (offsets, p), short = scorer.predict_dense([dense, "x y"], words, most_tokens=100)
+    assert [dense[a:b] for a, b in offsets] == ["ab"] * 300 and len(p) == 300 and len(short[0]) == 2 and sizes[0] == 2 and sizes[1] == 2
+    for k in range(6):
+        scorer.loaded(f"m{k}", lambda: words)
+    assert list(scorer._LOADED) == ["m2", "m3", "m4", "m5"]
+    calls = []
+
+    def broken():
+        calls.append(1)
+        raise OSError("no file")
+
+    for _ in range(2):
+        with pytest.raises(scorer.ModelUnavailable):
+            scorer.loaded("none", broken)
+    assert len(calls) == 1
+    assert scorer.model_gate("rules", broken) == "rules" and scorer.model_gate(None, None) == "rules" and scorer.model_gate("m", lambda: words) == "model"
+    with pytest.warns(RuntimeWarning):
+        assert scorer.model_gate(None, broken) == "rules"
+    with pytest.raises(scorer.ModelUnavailable):
+        scorer.model_gate("m", broken)
+
+    class Session:
+        def get_inputs(self):
+            return [type("X", (), {"name": n}) for n in ("input_ids", "attention_mask")]
+
+        def run(self, _, inputs):
+            ids = inputs["input_ids"]
+            return [np.stack([ids * 1.0, ids * 0.0], axis=-1)]
+
+    class Tokenizer:
+        def encode_batch(self, chunks):
+            return [type("E", (), {"ids": [1] * len(c), "attention_mask": [1] * len(c), "offsets": [(i, i + 1) for i in range(len(c))]}) for c in chunks]
+
+    (o, p), (o2, _) = scorer.session_predictor(Session(), Tokenizer())(["abc", "d"])
+    assert len(o) == 3 and len(o2) == 1 and np.allclose(p.sum(axis=1), 1) and p[0, 0] > 0.7
+
+
 def test_files(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text('# note\n\n{"name": "a", "hf_id": "x/a"}\n{"name": "b", "hf_id": "x/b", "local_path": "/nowhere"}\n')
     m = readers.manifest(spark, str(tmp_path / "m.jsonl"))

@@ -41,6 +41,7 @@ NOTHING = [
     "I handle the issue and twitter is great.",
     "see www.wikipedia.org for more",
     "version 10.1.2.3.4 came out",
+    "I live at 12 Oak Tracks with them.",
 ]
 
 
