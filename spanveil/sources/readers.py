@@ -45,6 +45,15 @@ def resolve_model(spark: SparkSession, manifest_rows: DataFrame, name: str | Non
     return local if local and os.path.exists(local) else rows[0].hf_id
 
 
+def resolve_models(asked: DataFrame, manifest_rows: DataFrame) -> DataFrame:
+    """``name, place`` of many names at once, by a join: the local path if that exists, else the published id, else the name itself."""
+    listed = manifest_rows.groupBy("name").agg(F.first("local_path", True).alias("local_path"), F.first("hf_id", True).alias("hf_id"))
+    paths = [r.local_path for r in listed.filter("local_path is not null").select("local_path").distinct().limit(10_000).collect()]
+    there = [p for p in paths if os.path.exists(p)]
+    local = F.when(F.col("local_path").isin(*there), F.col("local_path")) if there else F.lit(None)
+    return asked.join(listed, "name", "left").select("name", F.coalesce(local, "hf_id", "name").alias("place"))
+
+
 def downloads_allowed(flag: str | None) -> bool:
     return (flag or "").strip().lower() in {"1", "true", "yes"}
 
@@ -54,18 +63,39 @@ def prepared(spark: SparkSession, path: str) -> DataFrame:
 
 
 def check_requests(requests: DataFrame, models: DataFrame, policies: DataFrame) -> DataFrame:
-    """Add ``status`` and ``problem`` to requests (``text, model_name, labels, policy``): 200, or 400/422 with the reason."""
-    known = [r.name for r in models.select("name").distinct().limit(10_001).collect()]
-    names = [r.name for r in policies.select("name").distinct().limit(10_001).collect()]
-    if max(len(known), len(names)) > 10_000:
-        raise ValueError("more than 10000 models or policies")
+    """Add ``status`` and ``problem`` to requests (``text, model_name, labels, policy``): 200, or 400/422 with the reason.
+
+    Names are looked up by joins, so lists of models and policies may have any size.
+    """
     wrong = F.coalesce(F.exists("labels", lambda l: ~F.coalesce(l.isin(*ALL_LABELS), F.lit(False))), F.lit(False))
+    known = models.select(F.col("name").alias("_model")).filter("_model is not null").distinct().withColumn("_m", F.lit(True))
+    named = policies.select(F.col("name").alias("_policy")).filter("_policy is not null").distinct().withColumn("_p", F.lit(True))
+    rows = requests.join(known, F.col("model_name") == F.col("_model"), "left").join(named, F.col("policy") == F.col("_policy"), "left")
     problem = (
         F.when(F.col("text").isNull(), "no text")
         .when(F.length("text") > MOST_CHARS, "text too long")
-        .when(F.col("model_name").isNotNull() & ~F.col("model_name").isin("rules", *known), "unknown model")
-        .when(F.col("policy").isNotNull() & ~F.col("policy").isin(*names), "unknown policy")
+        .when(F.col("model_name").isNotNull() & (F.col("model_name") != "rules") & F.col("_m").isNull(), "unknown model")
+        .when(F.col("policy").isNotNull() & F.col("_p").isNull(), "unknown policy")
         .when(wrong, "unknown label")
     )
     status = F.when(problem.isNull(), 200).when(problem.isin("no text", "text too long"), 422).otherwise(400)
-    return requests.withColumn("problem", problem).withColumn("status", status)
+    return rows.withColumn("problem", problem).withColumn("status", status).drop("_model", "_m", "_policy", "_p")
+
+
+#: Problems after a request was accepted, and their statuses.
+REFUSED = {"model unavailable": 503, "leak": 422}
+
+
+def answers(requests: DataFrame, results: DataFrame, key: str, model_ready: bool = True) -> DataFrame:
+    """Checked requests with what they get: ``deidentified_text`` for status 200 only.
+
+    A request for a model that isn't ready is refused with 503; one whose text still holds a value that was to be removed with 422 and
+    without its text.
+    """
+    rows = requests.join(results.select(key, "deidentified_text", F.size("leaks").alias("_leaks")), key, "left")
+    asks = F.col("model_name").isNotNull() & (F.col("model_name") != "rules")
+    later = F.when(asks & F.lit(not model_ready), "model unavailable").when(F.col("_leaks") > 0, "leak")
+    rows = rows.withColumn("problem", F.coalesce("problem", later))
+    code = F.when(F.col("problem") == "model unavailable", REFUSED["model unavailable"]).when(F.col("problem") == "leak", REFUSED["leak"]).otherwise(F.col("status"))
+    rows = rows.withColumn("status", code.cast("int"))
+    return rows.withColumn("deidentified_text", F.when(F.col("status") == 200, F.col("deidentified_text"))).drop("_leaks")
