@@ -4,22 +4,25 @@ A prefix-filtered set join.  Each run of ten item words is a set of which a wind
 rarest word by corpus frequency is a necessary prefix of length one.  Documents without any prefix word go first;
 occurrences of prefix words in the rest give, with the word's offset in the run, the only window that could match (positional
 bound, window inside the text), and that window is compared word by word.
+
+Runs, words and frequencies stay tables throughout.  What every task gets is a filter of words of fixed size, and a side of a join where
+Spark finds its files to be under its limit for that.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from spanveil.llm.textkit import NOT_WORD
+from spanveil.plans.session import Scratch
 
 RUN = 10
-#: Evaluation sets up to this many distinct words are sent to all executors; larger ones are joined by shuffle.
-MOST_SENT = 20_000
+#: Bits of the word filter: 8,192 bytes whatever the number of items.
+FILTER_BITS = 1 << 16
 
 
-def words_of(text) -> F.Column:
+def words_of(text) -> Column:
     """Words of a text in order; a text that starts with a separator has an empty string in front."""
     return F.split(F.lower(text), NOT_WORD)
 
@@ -32,52 +35,49 @@ def item_runs(items: DataFrame) -> DataFrame:
     return w.select("item_id", "run_no", F.slice("w", F.col("run_no") + 1, RUN).alias("run")).distinct()
 
 
-def _prefixes(runs: DataFrame, frequency: DataFrame, sent: bool) -> DataFrame:
-    """``item_id, run_no, run, word, at``: the rarest word of each run (ties: first in alphabet) and its offset."""
-    each = runs.select("item_id", "run_no", "run", F.posexplode("run").alias("at", "word"))
-    each = each.join(F.broadcast(frequency) if sent else frequency, "word")
-    best = F.min(F.struct("df", "word", "at")).alias("p")
-    return each.groupBy("item_id", "run_no", "run").agg(best).select("item_id", "run_no", "run", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
+def _cell(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(FILTER_BITS)).cast("int")
+
+
+def _filter(words: DataFrame) -> Column:
+    """A bit per cell some word of the table falls into, as a constant; the cells, not the words, come to the driver."""
+    cells = words.select(_cell(F.col("word")).alias("c")).distinct().toArrow().column("c").to_pylist()
+    bits = [0] * (FILTER_BITS // 32)
+    for c in cells:
+        bits[c >> 5] |= 1 << (c & 31)
+    return F.expr("array(" + ",".join(f"{b}L" for b in bits) + ")")
+
+
+def _may_be(word: Column, bits: Column) -> Column:
+    """Whether a word's cell is set; false for words that are certainly not in the table."""
+    c = _cell(word)
+    return F.get(bits, F.shiftright(c, 5)).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), c.bitwiseAND(F.lit(31)))) != 0
 
 
-def leaks(documents: DataFrame, items: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """``doc_id, item_id, run_no, position``: a run of an item, and the position in the document's words where it stands.
 
     Null or blank texts, texts of fewer than ten words and rows without an id give nothing; repeated rows count once.
     """
-    runs = item_runs(items)
-    vocabulary = runs.select(F.explode("run").alias("word")).distinct()
-    few = [r.word for r in vocabulary.limit(most_sent + 1).collect()]
-    sent = len(few) <= most_sent
-    spark = documents.sparkSession
+    scratch = Scratch(documents.sparkSession)
+    runs = scratch.stage(item_runs(items), "runs")
+    vocabulary = scratch.stage(runs.select(F.explode("run").alias("word")).distinct(), "vocabulary")
     docs = documents.filter("doc_id is not null and text is not null").select("doc_id", words_of("text").alias("w"))
     docs = docs.filter(F.size("w") >= RUN)
-    if sent:
-        known = spark.createDataFrame([(w,) for w in few], T.StructType([T.StructField("word", T.StringType())]))
-        in_doc = docs.select(F.explode(F.array_intersect("w", F.array(*[F.lit(w) for w in sorted(few)]))).alias("word")) if few else known
-        counted = in_doc.groupBy("word").agg(F.count("*").alias("df"))
-        frequency = {r.word: r.df for r in counted.collect()} if few else {}
-        frame = spark.createDataFrame([(w, frequency[w]) for w in frequency], "word string, df long")
-    else:
-        in_doc = docs.select(F.explode(F.array_distinct("w")).alias("word"))
-        frame = in_doc.join(vocabulary, "word", "left_semi").groupBy("word").agg(F.count("*").alias("df"))
-    # A run with a word that no document has can't occur.
-    whole = runs.select("item_id", "run_no", "run", F.explode("run").alias("word")).join(frame, "word").groupBy("item_id", "run_no", "run").agg(F.count("*").alias("c"))
-    runs = whole.filter(F.col("c") == RUN).select("item_id", "run_no", "run")
-    prefixes = _prefixes(runs, frame, sent)
-    if sent:
-        rows = prefixes.collect()
-        if not rows:
-            return spark.createDataFrame([], "doc_id bigint, item_id bigint, run_no int, position int")
-        prefixes = F.broadcast(spark.createDataFrame(rows, prefixes.schema))
-        needed = F.array(*[F.lit(w) for w in sorted({r.word for r in rows})])
-        docs = docs.filter(F.arrays_overlap("w", needed))
-        hits = docs.select("doc_id", "w", F.posexplode("w").alias("pos", "word")).join(prefixes, "word")
-    else:
-        hits = docs.select("doc_id", F.posexplode("w").alias("pos", "word")).join(prefixes, "word").join(docs, "doc_id")
-    start = F.col("pos") - F.col("at")
-    hits = hits.withColumn("position", start).filter((start >= 0) & (start + RUN <= F.size("w")))
-    exact = hits.filter(F.slice("w", F.col("position") + 1, RUN) == F.col("run"))
+    # Each task counts its own documents' words first; the join with the vocabulary comes before anything is shuffled where that is small.
+    seen = docs.select(F.explode(F.array_distinct("w")).alias("word")).join(vocabulary, "word", "left_semi")
+    frequency = scratch.stage(seen.groupBy("word").agg(F.count("*").alias("df")), "frequency")
+    # A run with a word that no document has can't occur.  The rarest word (ties: first in alphabet) is its prefix.
+    each = runs.select("item_id", "run_no", F.posexplode("run").alias("at", "word")).join(frequency, "word")
+    best = each.groupBy("item_id", "run_no").agg(F.count("*").alias("c"), F.min(F.struct("df", "word", "at")).alias("p"))
+    prefixes = best.filter(F.col("c") == RUN).select("item_id", "run_no", F.col("p.word").alias("word"), F.col("p.at").alias("at"))
+    prefixes = scratch.stage(prefixes.join(runs, ["item_id", "run_no"]), "prefixes")
+    bits = _filter(prefixes.select("word"))
+    # Words are tested and joined where they are exploded, in one compiled loop: only those that begin a candidate are ever stored.
+    near = docs.select("doc_id", "w", F.posexplode("w").alias("pos", "word")).filter(_may_be(F.col("word"), bits)).join(prefixes, "word")
+    position = F.col("pos") - F.col("at")
+    near = near.withColumn("position", position).filter((position >= 0) & (position + RUN <= F.size("w")))
+    exact = near.filter(F.slice("w", F.col("position") + 1, RUN) == F.col("run"))
     return exact.select("doc_id", "item_id", "run_no", "position").distinct()
 
 

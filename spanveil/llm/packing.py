@@ -18,7 +18,8 @@ from spanveil.llm.textkit import TOKEN
 
 OPEN = 256
 SHARD_ITEMS = 50_000
-MOST_CAPACITIES = 1000
+#: Capacities filled by one plan; more are filled by several.
+CAPACITIES_AT_ONCE = 1000
 
 
 def token_count(text) -> Column:
@@ -98,14 +99,20 @@ def pack(items: Iterable[tuple[int, int]], capacity: int, most_open: int = OPEN)
 def fill(documents: DataFrame, limits: DataFrame, size: Column | None = None, most_open: int = OPEN, shard_items: int = SHARD_ITEMS) -> DataFrame:
     """``limit_id, doc_id, piece_no, token_start, token_end, container``: every document assigned for every capacity.
 
-    ``limits`` has ``limit_id, max_size``, configuration of at most ``MOST_CAPACITIES`` rows.  ``container`` is
+    ``limits`` has ``limit_id, max_size``, a table of configuration.  ``container`` is
     "shard-number".  Documents without tokens (null, empty or blank text) need no container and give no row; repeated
     rows of a ``doc_id`` count once, by their largest size.
     """
-    rows = limits.select("limit_id", "max_size").distinct().limit(MOST_CAPACITIES + 1).collect()
-    if len(rows) > MOST_CAPACITIES:
-        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
+    rows = limits.select("limit_id", "max_size").distinct().collect()
     capacities = [(r.limit_id, r.max_size) for r in rows if r.max_size]
+    parts = [capacities[k : k + CAPACITIES_AT_ONCE] for k in range(0, len(capacities), CAPACITIES_AT_ONCE)] or [[]]
+    out = _fill(documents, parts[0], size, most_open, shard_items)
+    for part in parts[1:]:
+        out = out.unionAll(_fill(documents, part, size, most_open, shard_items))
+    return out
+
+
+def _fill(documents: DataFrame, capacities: list[tuple[int, int]], size: Column | None, most_open: int, shard_items: int) -> DataFrame:
     sizes = documents.select("doc_id", (token_count("text") if size is None else size).alias("tokens"))
     sizes = sizes.filter("tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens"))
     schema = "limit_id int, doc_id bigint, piece_no int, token_start int, token_end int, container string"
@@ -145,4 +152,4 @@ def fill_report(filled: DataFrame, limits: DataFrame) -> DataFrame:
     boxes = filled.groupBy("limit_id", "container").agg(F.sum(F.col("token_end") - F.col("token_start")).alias("used"), F.count("*").alias("pieces"))
     per = boxes.groupBy("limit_id").agg(F.count("*").alias("containers"), F.sum("used").alias("tokens"), F.sum("pieces").alias("pieces"))
     caps = limits.select("limit_id", "max_size").distinct()
-    return per.join(F.broadcast(caps.limit(MOST_CAPACITIES)), "limit_id").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("max_size"))).drop("max_size")
+    return per.join(caps, "limit_id").withColumn("fill", F.col("tokens") / (F.col("containers") * F.col("max_size"))).drop("max_size")

@@ -42,9 +42,12 @@ def test_equals_brute_force(spark):
         docs, items = data(seed)
         want = truth(docs, items)
         d, i = spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)
-        for most in (20_000, 3):
-            got = [tuple(r) for r in leakage.leaked_documents(d, i).collect()] if most > 3 else [tuple(r) for r in leakage.leaks(d, i, most).select("doc_id", "item_id").distinct().collect()]
+        for limit in ("10m", "-1"):
+            # Broadcast by size, and never.
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            got = [tuple(r) for r in leakage.leaked_documents(d, i).collect()]
             assert len(got) == len(set(got)) and set(got) == want and len(want) > 10
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
         exposed = {r.item_id: r.documents for r in leakage.exposed_items(d, i).collect()}
         assert exposed == {k: len({x for x, y in want if y == k}) for k in {k for _, k in want}}
 
