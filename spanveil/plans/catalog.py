@@ -252,10 +252,12 @@ def doc_email(spark, d):
 
 
 def overlaps_query(spark, d):
-    p = pred_rows(spark, d)
+    from spanveil.functions.spans import overlaps
+
+    p = pred_rows(spark, d).select("document", "label", F.struct("start", "end").alias("x"))
     a, b = p.alias("a"), p.alias("b")
-    both = a.join(b, (F.col("a.document") == F.col("b.document")) & (F.col("a.label") < F.col("b.label")) & (F.col("a.start") < F.col("b.end")) & (F.col("b.start") < F.col("a.end")))
-    return both.select("a.document", F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.col("a.start").alias("start_a"), F.col("b.start").alias("start_b"))
+    both = a.join(b, (F.col("a.document") == F.col("b.document")) & (F.col("a.label") < F.col("b.label")) & overlaps(F.col("a.x"), F.col("b.x")))
+    return both.select("a.document", F.col("a.label").alias("label_a"), F.col("b.label").alias("label_b"), F.col("a.x.start").alias("start_a"), F.col("b.x.start").alias("start_b"))
 
 
 def span_trim(spark, d):
@@ -576,8 +578,10 @@ def fp_policy(spark, d):
 
 
 def src_limit(spark, d):
-    """The first hundred labelled documents: the limit is the feature."""
-    return table(spark, d, "labelled_docs").select("document").distinct().orderBy("document").limit(100)
+    """The first hundred labelled documents of a file: the limit is the feature."""
+    path = f"{shared_dir(spark)}/spanveil/limit-{uuid.uuid4().hex}"
+    writers.corpus(_unique_docs(spark, d).select("document", "tokens", "labels"), path)
+    return readers.corpus(spark, path, limit=100, lines=True).select("document")
 
 
 def src_rest(spark, d):
@@ -587,13 +591,13 @@ def src_rest(spark, d):
 
 
 def snk_corpus(spark, d):
-    path = f"{shared_dir(spark)}/spanveil/snk-corpus"
+    path = f"{shared_dir(spark)}/spanveil/snk-corpus-{uuid.uuid4().hex}"
     writers.corpus(_unique_docs(spark, d).select("document", "tokens", "trailing_whitespace", "labels"), path)
     return readers.corpus(spark, path, lines=True).select("document", F.size("tokens").cast("bigint").alias("tokens"), F.size("labels").cast("bigint").alias("labels"))
 
 
 def snk_json(spark, d):
-    path = f"{shared_dir(spark)}/spanveil/snk-json"
+    path = f"{shared_dir(spark)}/spanveil/snk-json-{uuid.uuid4().hex}"
     writers.results_json(_deid(spark, d, MIXED, "ferpa", date_shift_days=30), path)
     out = spark.read.text(path).select(F.from_json("value", "deidentified_text string, n_entities bigint, entities array<struct<label string, text string>>").alias("r"))
     return out.select(F.col("r.deidentified_text").alias("deidentified_text"), F.col("r.n_entities").alias("n"), F.exists("r.entities", lambda e: e["text"].isNotNull()).alias("has_values"))
@@ -610,7 +614,7 @@ def stream_masked(spark, d):
 
 def src_text(spark, d):
     """Masked texts written as plain text and read as whole files again."""
-    path = f"{shared_dir(spark)}/spanveil/snk-text"
+    path = f"{shared_dir(spark)}/spanveil/snk-text-{uuid.uuid4().hex}"
     writers.redacted_text(_deid(spark, d, NAMED, "ferpa").coalesce(1), path)
     whole = readers.texts(spark, path).select(F.explode(F.split("text", "\n")).alias("line")).filter("line <> ''")
     return whole.groupBy("line").agg(F.count("*").alias("n"))
@@ -618,14 +622,14 @@ def src_text(spark, d):
 
 def src_dataset(spark, d):
     """Prepared train and validation parts, written by part and read again."""
-    path = f"{shared_dir(spark)}/spanveil/prepared"
+    path = f"{shared_dir(spark)}/spanveil/prepared-{uuid.uuid4().hex}"
     docs = _unique_docs(spark, d).select("document", "tokens", "trailing_whitespace", "labels")
     writers.prepared(corpus.split(docs), path)
     return readers.prepared(spark, f"{path}/documents").groupBy("part").agg(F.count("*").alias("n"))
 
 
 def snk_report(spark, d):
-    path = f"{shared_dir(spark)}/spanveil/report"
+    path = f"{shared_dir(spark)}/spanveil/report-{uuid.uuid4().hex}"
     writers.report(metrics.prf(metrics.judged(gold_rows(spark, d), pred_rows(spark, d))).na.fill({"label": "overall"}), path)
     return spark.read.schema("label string, tp bigint, fp bigint, fn bigint").json(path)
 
@@ -715,7 +719,7 @@ def regulation_map(spark, d):
 
 def snk_synth(spark, d):
     """Generated documents written and read again: labels per style."""
-    path = f"{shared_dir(spark)}/spanveil/snk-synth"
+    path = f"{shared_dir(spark)}/spanveil/snk-synth-{uuid.uuid4().hex}"
     docs = generators.documents(spark, 500, "cued").unionByName(generators.documents(spark, 500, "hard"))
     writers.corpus(docs, path)
     return readers.corpus(spark, path, lines=True).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
@@ -736,8 +740,126 @@ OTHERS = {
     "f_beta": f_beta, "softmax": softmax, "argmax": argmax, "quant_agree": quant_agree, "win": win, "model_authority": model_authority, "gen_k12": gen_k12, "gen_essay": gen_essay, "cued_quality": cued_quality,
     "src_manifest": src_manifest, "src_policies": src_policies, "fp_policy": fp_policy, "src_limit": src_limit, "src_rest": src_rest, "snk_corpus": snk_corpus, "snk_json": snk_json, "snk_synth": snk_synth, "regulation_map": regulation_map,
     "label_counts_by_day": label_counts_by_day, "src_text": src_text, "stream_masked": stream_masked, "src_dataset": src_dataset, "snk_report": snk_report, "resolve_model": resolve_model, "r_mask": r_mask, "r_hash": r_hash, "r_keep": r_keep,
-    "r_shift": f"""SELECT span_id, CASE WHEN label <> 'DATE' THEN '[' || label || ']' ELSE coalesce({SHIFTED}, '[DATE]') END AS out
-        FROM (SELECT *, regexp_replace(replace(text, 'Sept', 'Sep'), '\\s+', ' ', 'g') AS v FROM (SELECT DISTINCT * FROM spans))""",
+    "r_shift": r_shift, "shift_days": shift_days, "leak_gaps": leak_gaps, "spoken_email": spoken_email, "decode": decode, "subtoken_align": subtoken_align, "explode_windows": explode_windows,
+    "names_corpus": names_corpus, "propagate_corpus": propagate_corpus, "coppa_corpus": coppa_corpus,
+}
+
+
+def _joined(built: Built, replace) -> str:
+    """The text of a built row with its labelled parts replaced."""
+    return " || ".join(f"({replace(e, l) if l else e})" for e, l in built.pieces())
+
+
+def _masked(e: str, label: str) -> str:
+    if label == "DATE":
+        return f"strftime(CAST({e} AS DATE) + INTERVAL 30 DAY, '%Y-%m-%d')"
+    return f"'[{label}]'"
+
+
+def _hashed(e: str, label: str) -> str:
+    return _masked(e, label) if label in ("DATE", "IP_ADDRESS") else f"substr(sha256('{redact.SALT}' || {e}), 1, 10)"
+
+
+SHIFTED = "coalesce(" + ", ".join(f"strftime(try_strptime(v, '{f}') + INTERVAL 30 DAY, '{f}')" for f in ("%m/%d/%Y", "%m-%d-%Y", "%Y-%m-%d", "%B %d, %Y", "%b %d, %Y", "%B %d %Y")) + ")"
+NONWORD = r"[^\p{L}\p{M}\p{Nd}\p{Pc}]"
+MASKED = _joined(MIXED, _masked)
+
+SQL = {
+    "det_all": MIXED.sql(),
+    "det_labels": MIXED.sql(lambda l: l in ("EMAIL", "IP_ADDRESS")),
+    "propagate": NAMED.sql(),
+    "analyze": MIXED.sql(),
+    "by_label": f"SELECT key, label, CAST(1 AS BIGINT) AS n, value AS first_value FROM ({MIXED.sql()})",
+    "doc_email": r"SELECT doc_id, unnest(regexp_extract_all(text, '\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b')) AS value FROM documents",
+    "overlaps": """SELECT a.document, a.label AS label_a, b.label AS label_b, a.span_start::BIGINT AS start_a, b.span_start::BIGINT AS start_b
+        FROM (SELECT DISTINCT document, label, span_start, span_end FROM spans) a JOIN (SELECT DISTINCT document, label, span_start, span_end FROM spans) b
+        ON a.document = b.document AND a.label < b.label AND a.span_start < b.span_end AND b.span_start < a.span_end""",
+    "span_trim": "SELECT o_orderkey::BIGINT AS key, o_orderkey::VARCHAR AS value FROM orders",
+    "resolve": f"{RANKED} SELECT document, x.id AS span_id FROM (SELECT document, unnest(kept) AS x FROM last)",
+    "stopword": "SELECT n_nationkey::BIGINT AS key, n_nationkey % 2 = 0 AS stop FROM nation",
+    "digits_only": "SELECT o_orderkey::BIGINT AS key, strftime(o_orderdate, '%Y%m%d') AS digits FROM orders",
+    "luhn": """SELECT key, list_sum([CASE WHEN i % 2 = 0 THEN CASE WHEN 2 * c > 9 THEN 2 * c - 9 ELSE 2 * c END ELSE c END FOR c, i IN digits]) % 10 = 0 AS ok
+        FROM (SELECT o_orderkey::BIGINT AS key, [CAST(x AS INT) FOR x IN string_split(reverse(lpad((o_orderkey * 7919)::VARCHAR, 13, '4')), '')] AS digits FROM orders)""",
+    "url_is_personal": "SELECT n_nationkey::BIGINT AS key, n_nationkey % 4 IN (0, 3) OR (n_nationkey % 4 = 2 AND n_nationkey % 8 >= 4) AS personal FROM nation",
+    "hash_value": f"SELECT span_id, substr(sha256('{redact.SALT}' || text), 1, 10) AS hashed FROM spans",
+    "shift_date": """SELECT o_orderkey::BIGINT AS key, strftime(o_orderdate::DATE + INTERVAL 30 DAY, '%m/%d/%Y') AS us, strftime(o_orderdate::DATE - INTERVAL 45 DAY, '%Y-%m-%d') AS iso,
+        CASE WHEN month(o_orderdate::DATE) = 9 THEN '[DATE]' ELSE strftime(o_orderdate::DATE + INTERVAL 400 DAY, '%B %d, %Y') END AS long FROM orders""",
+    "tokenise": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}\x{200C}\x{200D}]+|[^\p{L}\p{M}\p{Nd}\p{Pc}\p{Nl}\x{200C}\x{200D}\s\x{0B}\x{85}\p{Z}]')) AS BIGINT) AS tokens FROM documents WHERE text IS NOT NULL",
+    "pol_filter": """SELECT p.name AS policy, s.label, count(*) AS n
+        FROM (SELECT DISTINCT document, label, text, span_start, span_end, coalesce(confidence, 0) AS c, source, span_id FROM spans WHERE document IS NOT NULL AND span_start IS NOT NULL AND span_end IS NOT NULL) s, policies p
+        WHERE p.labels[s.label] IS NOT NULL AND coalesce(p.labels[s.label].enabled, true) AND s.c >= coalesce(p.labels[s.label].min_confidence, p.min_confidence, 0) GROUP BY ALL""",
+    "method": """SELECT request_id, CASE WHEN r.method IS NOT NULL AND coalesce(p.allow_method_override, true) THEN r.method ELSE coalesce(p.default_method, 'mask') END AS used
+        FROM (SELECT DISTINCT request_id, policy, method FROM deid_results) r LEFT JOIN policies p ON r.policy = p.name""",
+    "method_label": """SELECT name AS policy, e.key AS label, coalesce(e.value.method, default_method) AS method, coalesce(e.value.mask, '[' || e.key || ']') AS mask
+        FROM (SELECT name, default_method, unnest(map_entries(labels)) AS e FROM policies) WHERE e.value IS NOT NULL""",
+    "deid_mask": f"SELECT c_custkey::BIGINT AS key, {MASKED} AS deidentified_text FROM customer",
+    "deid_coppa": f"SELECT n_nationkey::BIGINT AS key, {_joined(NAMED, lambda e, l: chr(39) + '[CHILD]' + chr(39))} AS deidentified_text FROM nation",
+    "deid_hash": f"SELECT c_custkey::BIGINT AS key, {_joined(MIXED, _hashed)} AS deidentified_text FROM customer",
+    "deid_keep": "SELECT c_custkey::BIGINT AS key, CAST(3 AS BIGINT) AS leaks FROM customer",
+    "replacements": f"""SELECT n_nationkey::BIGINT AS key, original, '[STUDENT]' AS replaced FROM (
+        SELECT n_nationkey, unnest(['Ona ' || {NAME}, {NAME}, 'Ona']) AS original FROM nation)""",
+    "leak_check": rf"""SELECT DISTINCT request_id, v AS leak FROM (
+            SELECT request_id, deidentified_text AS t, trim(unnest(map_keys(replacements))) AS v FROM (
+                SELECT request_id, any_value(deidentified_text) AS deidentified_text, any_value(replacements) AS replacements FROM deid_results
+                WHERE deidentified_text IS NOT NULL AND replacements IS NOT NULL GROUP BY request_id))
+        WHERE length(v) >= 3 AND regexp_matches(t, '(?:^|{NONWORD})' || regexp_escape(v) || '(?:$|{NONWORD})')""",
+    "quarantine": "SELECT count(*) AS n, 'clean' AS kind FROM customer UNION ALL SELECT 0, 'leaking'",
+    "audit": f"""SELECT c_custkey::BIGINT AS key, 'ferpa' AS policy, 'mask' AS method, 5::BIGINT AS acted, 0::BIGINT AS below, length({MIXED.text()})::BIGINT AS input_chars, sha256({MASKED}) AS sha, 0::BIGINT AS leaks, 1::BIGINT AS emails FROM customer""",
+    "audit_summary": """SELECT policy, e.key AS label, CAST(sum(e.value) AS BIGINT) AS acted, count(*) AS requests FROM (
+        SELECT a.policy AS policy, unnest(map_entries(a.by_label)) AS e FROM (SELECT request_id, any_value(audit) AS a FROM deid_results WHERE audit IS NOT NULL GROUP BY request_id)) GROUP BY ALL""",
+    "rebuild": f"""{GOLD} SELECT document, label, "start", "end" FROM gold""",
+    "rebuilt_text": "SELECT document, sha256(array_to_string([t || CASE WHEN w[i] THEN ' ' ELSE '' END FOR t, i IN tokens], '')) AS sha FROM (SELECT document, any_value(tokens) AS tokens, any_value(trailing_whitespace) AS w FROM labelled_docs WHERE tokens IS NOT NULL GROUP BY document)",
+    "score": f"{JUDGED} SELECT label, kind, count(*) AS n FROM kinds GROUP BY ALL",
+    "exposed": f"""{JUDGED} SELECT document, label, "start", "end" FROM kinds WHERE exposed""",
+    "prf": f"{JUDGED},{PRF} SELECT label, tp, fp, fn, round(p, 4) AS precision, round(r, 4) AS recall, CASE WHEN p + r > 0 THEN round(26 * p * r / (25 * p + r), 4) ELSE 0 END AS f5, exposed FROM pr",
+    "label_scope": f"""{GOLD}{PRED} SELECT label, count(*) AS n FROM pred q WHERE label IN ({", ".join(repr(l) for l in metrics.scope("all"))})
+        AND NOT EXISTS (SELECT 1 FROM gold g WHERE g.document = q.document AND g.label = q.label AND q."start" < g."end" AND g."start" < q."end") GROUP BY label""",
+    "report": f"""{JUDGED},{PRF} SELECT 'spans' AS model, (SELECT count(*) FROM docs) AS docs, tp, fn, round(26 * p * r / (25 * p + r), 4) AS f5, tp + fn AS identifiers, exposed,
+        round(1 - exposed / (tp + fn)::DOUBLE, 4) AS removed_under_any_label FROM pr WHERE label IS NULL""",
+    "is_positive": "SELECT document, len(list_filter(any_value(labels), lambda x: upper(trim(coalesce(x, 'O'))) <> 'O')) > 0 AS positive FROM labelled_docs WHERE labels IS NOT NULL GROUP BY document",
+    "encode": f"""{GOLD} SELECT document, CAST(CASE WHEN p = 'O' THEN 0 ELSE 2 * list_position([{", ".join(repr(l) for l in CORPUS_LABELS)}], label) - CASE WHEN p = 'B' THEN 1 ELSE 0 END END AS BIGINT) AS cls, count(*) AS n FROM opened GROUP BY ALL""",
+    "char_project": f"""{GOLD}, c AS (SELECT document, CASE WHEN p = 'O' THEN 'O' ELSE p || '-' || label END AS label, n AS m FROM opened UNION ALL SELECT document, 'O', w FROM opened)
+        SELECT document, label, CAST(sum(m) AS BIGINT) AS chars FROM c GROUP BY ALL HAVING sum(m) > 0""",
+    "renumber": """WITH d AS (SELECT DISTINCT document, source FROM labelled_docs WHERE labels IS NOT NULL)
+        SELECT CAST((SELECT max(document) FROM d WHERE source = 'real') + row_number() OVER (ORDER BY document) AS BIGINT) AS document, document AS was FROM d WHERE source = 'synthetic'""",
+    "split": """WITH d AS (SELECT document, len(list_filter(any_value(labels), lambda x: upper(trim(coalesce(x, 'O'))) <> 'O')) > 0 AS pos, md5('42|' || document::VARCHAR) AS turn FROM labelled_docs WHERE labels IS NOT NULL GROUP BY document),
+        n AS (SELECT *, row_number() OVER (ORDER BY turn, document) - 1 AS k, count(*) OVER () AS size FROM d),
+        rest AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY turn, document) - 1 AS j, count(*) OVER (PARTITION BY pos) AS m FROM n WHERE k >= floor(size * 0.1))
+        SELECT document, 'validation' AS part FROM n WHERE k < floor(size * 0.1) UNION ALL SELECT document, 'train' FROM rest WHERE pos OR j < floor(m * 0.3)""",
+    "marks": """SELECT key, plain, label, s::BIGINT AS span_start, (s + n)::BIGINT AS span_end FROM (
+        SELECT c_custkey::BIGINT AS key, 'By ' || c_name || ' aged ' || (c_custkey % 90)::VARCHAR || 'x.' AS plain, unnest([
+            struct_pack(label := 'NAME_STUDENT', s := 3, n := length(c_name)), struct_pack(label := 'AGE', s := 9 + length(c_name), n := length((c_custkey % 90)::VARCHAR)),
+            struct_pack(label := 'SSN', s := 9 + length(c_name) + length((c_custkey % 90)::VARCHAR), n := 1)], recursive := true) FROM customer)""",
+    "token_metrics": """SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(26 * p * r / (25 * p + r), 6) AS f5 FROM (SELECT *, tp / (tp + fp)::DOUBLE AS p, tp / (tp + fn)::DOUBLE AS r FROM (
+        SELECT count(*) FILTER (g > 0 AND g = q) AS tp, count(*) FILTER (q > 0 AND g <> q) AS fp, count(*) FILTER (g > 0 AND g <> q) AS fn FROM (SELECT o_orderkey % 5 AS g, (o_orderkey * 7 + o_orderkey % 3) % 5 AS q FROM orders)))""",
+    "f_beta": "SELECT c_custkey::BIGINT AS key, CASE WHEN p + r > 0 THEN round(26 * p * r / (25 * p + r), 6) ELSE 0 END AS f5 FROM (SELECT c_custkey, (c_custkey % 101) / 100::DOUBLE AS p, (c_custkey % 97) / 96::DOUBLE AS r FROM customer)",
+    "softmax": "SELECT vec_id, round(exp(e[1]) / list_sum([exp(x) FOR x IN e]), 6) AS p0, 1::DOUBLE AS total FROM (SELECT vec_id, [x::DOUBLE FOR x IN embedding[1:8]] AS e FROM embeddings)",
+    "argmax": "SELECT vec_id, CAST(list_position(embedding[1:15], list_max(embedding[1:15])) - 1 AS BIGINT) AS cls FROM embeddings",
+    "quant_agree": """SELECT round(avg(CAST(list_position(a, list_max(a)) = list_position(b, list_max(b)) AS INT)), 6) AS same_argmax, round(max(list_max([abs(x::DOUBLE - b[i]::DOUBLE) FOR x, i IN a])), 6) AS max_difference
+        FROM (SELECT embedding[1:6] AS a, embedding[2:7] AS b FROM embeddings)""",
+    "src_manifest": "SELECT name, unnest(CASE WHEN labels IS NULL OR len(labels) = 0 THEN [NULL] ELSE labels END) AS label, coalesce(local_path, hf_id) AS place FROM model_manifest",
+    "src_policies": "SELECT name, CAST(cardinality(labels) AS BIGINT) AS labels FROM policies",
+    "fp_policy": "SELECT name, sha256(replace(concat_ws(chr(13) || chr(10), name, description), chr(13) || chr(10), chr(10))) AS sha FROM policies",
+    "src_limit": "SELECT DISTINCT document FROM labelled_docs WHERE labels IS NOT NULL ORDER BY document LIMIT 100",
+    "src_rest": """SELECT CASE WHEN problem IS NULL THEN 200::BIGINT WHEN problem IN ('no text', 'text too long') THEN 422 ELSE 400 END AS status, problem, count(*) AS n FROM (
+        SELECT CASE WHEN original_text IS NULL THEN 'no text' WHEN length(original_text) > 200000 THEN 'text too long' WHEN policy NOT IN (SELECT name FROM policies) THEN 'unknown policy' END AS problem
+        FROM (SELECT DISTINCT request_id, original_text, policy FROM deid_results)) GROUP BY ALL""",
+    "snk_corpus": "SELECT document, CAST(any_value(len(tokens)) AS BIGINT) AS tokens, CAST(any_value(len(labels)) AS BIGINT) AS labels FROM labelled_docs WHERE labels IS NOT NULL GROUP BY document",
+    "snk_json": f"SELECT {MASKED} AS deidentified_text, 5::BIGINT AS n, false AS has_values FROM customer",
+    "regulation_map": "SELECT rule, item, label, status, coalesce(n, 0) AS n FROM (VALUES " + ", ".join("(" + ", ".join("'" + v.replace("'", "''") + "'" for v in r) + ")" for r in REGULATION)
+    + ") m(rule, item, label, status) LEFT JOIN (SELECT label, count(*) AS n FROM spans GROUP BY label) USING (label)",
+    "src_text": "SELECT 'My name is [STUDENT]. We like [STUDENT]' || chr(39) || 's ideas and [STUDENT].' AS line, count(*) AS n FROM nation",
+    "src_dataset": """WITH d AS (SELECT document, len(list_filter(any_value(labels), lambda x: upper(trim(coalesce(x, 'O'))) <> 'O')) > 0 AS pos, md5('42|' || document::VARCHAR) AS turn FROM labelled_docs WHERE labels IS NOT NULL GROUP BY document),
+        n AS (SELECT *, row_number() OVER (ORDER BY turn, document) - 1 AS k, count(*) OVER () AS size FROM d),
+        rest AS (SELECT *, row_number() OVER (PARTITION BY pos ORDER BY turn, document) - 1 AS j, count(*) OVER (PARTITION BY pos) AS m FROM n WHERE k >= floor(size * 0.1))
+        SELECT part, count(*) AS n FROM (SELECT 'validation' AS part FROM n WHERE k < floor(size * 0.1) UNION ALL SELECT 'train' FROM rest WHERE pos OR j < floor(m * 0.3)) GROUP BY part""",
+    "snk_report": f"{JUDGED},{PRF} SELECT coalesce(label, 'overall') AS label, tp, fp, fn FROM pr",
+    "resolve_model": "SELECT name, any_value(hf_id) AS place FROM model_manifest GROUP BY name UNION ALL SELECT 'other/model', 'other/model'",
+    "r_mask": "SELECT span_id, '[' || label || ']' AS out FROM (SELECT DISTINCT * FROM spans)",
+    "r_hash": f"SELECT span_id, substr(sha256('{redact.SALT}' || text), 1, 10) AS out FROM (SELECT DISTINCT * FROM spans)",
+    "r_keep": "SELECT span_id, text AS out FROM (SELECT DISTINCT * FROM spans)",
+    "r_shift": rf"""SELECT span_id, CASE WHEN label <> 'DATE' THEN '[' || label || ']' ELSE coalesce({SHIFTED}, '[DATE]') END AS out
+        FROM (SELECT *, regexp_replace(replace(text, 'Sept', 'Sep'), '\s+', ' ', 'g') AS v FROM (SELECT DISTINCT * FROM spans))""",
     "shift_days": "SELECT doc_id, true AS within FROM documents",
     "leak_gaps": f"SELECT n_nationkey::BIGINT AS key, {NAME} AS leak FROM nation",
     "spoken_email": "SELECT CAST(0 AS BIGINT) AS found",
