@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanveil.functions.lexicon import STATES
 from spanveil.llm.textkit import record_text
 
 LABELS = ("NAME", "EMAIL", "PHONE_NUM", "ID_NUM", "STREET_ADDRESS")
@@ -69,12 +70,12 @@ _DIGIT = re.compile(r"\d")
 _RUN = re.compile(r"(?:[A-Za-z]{1,3}-?)?\d[\dA-Za-z]*")
 _US_PHONE = re.compile(r"(?:\+?1[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)")
 _INTL = re.compile(r"\+\d{1,3}[ .-]?(?:\(?\d{1,4}\)?[ .-]?){2,5}\d(?!\d)")
-_LOCAL = re.compile(r"\d{3}[ .-]\d{4}(?!\d)")
+_LOCAL = re.compile(r"(?:0\d{1,4}[ .-]\d{3,4}[ .-]\d{3,4}|\d{3}[ .-]\d{4})(?!\d|[.-]\d| \d{3})")
 _SOLID = re.compile(r"1?\d{10}(?!\d)")
 _EXTENSION = re.compile(r"[,;]?\s{0,2}(?:ext(?:ension)?\b\.?|x)\s{0,2}\d{1,6}\b", re.I)
 _DIGITS = "|".join(DIGIT_WORDS)
 _SPOKEN = re.compile(rf"\b(?:{_DIGITS})(?:[\s-]+(?:{_DIGITS})){{6,14}}\b", re.I)
-_PHONE_CUE = re.compile(r"(?:\b(?:call|text|phone|cell|mobile|reach|dial|whatsapp|tel|fax|number for pickup|contact)\b[^.!?\n]{0,24})\Z", re.I)
+_PHONE_CUE = re.compile(r"(?:\b(?:call|text|phone|cell|mobile|reach|dial|whatsapp|tel|fax|number|contact)\b[^.!?\n]{0,24})\Z", re.I)
 
 _ID_VALUE = re.compile(
     r"\d{4} \d{4} \d{4} \d{2,4}\b|\d{3}[ -]\d{2}[ -]\d{4}\b|[A-Za-z]{1,3}-\d{2,6}-\d{1,4}[A-Za-z]?\b|[A-Za-z]{0,3}\d[\dA-Za-z]*(?:-[\dA-Za-z]+){0,3}\b"
@@ -84,13 +85,13 @@ _ID_BEFORE = re.compile(
     r"|ssn|social(?: security)?(?: number| no\.?)?|\bid|sasid|osis)(?:\W{1,3}(?:is|was|reads|says|number|no\.?|=|it is|it's))?[\s:#,=]{1,3}\Z",
     re.I,
 )
-_ID_AFTER = re.compile(r"[^\S\n]+(?:is|was)[^\S\n]+(?:what it says on (?:my|the)|on my|my|the number on my)[^\S\n]+(?:\w+[^\S\n]+){0,2}(?:card|id|badge|tag|ssn)\b", re.I)
+_ID_AFTER = re.compile(r"[^\S\n]+(?:is|was|are)\b[^.!?\n]{0,60}?\b(?:card|id|badge|tag|ssn|pass|barcode|lanyard)\b", re.I)
 _NOT_PERSON = re.compile(r"\b(?:model|barcode|invoice|order|version|page|pg|problem|room|part|tracking|serial|isbn|kit|code for|score|equation)\b[^.!?\n]{0,30}\Z", re.I)
 
 _DIRECTION = r"(?:(?:north|south|east|west|upper|lower|old|new|n|s|e|w)\.?\s)?"
 _SUFFIX = rf"(?:{'|'.join(SUFFIXES)})\b\.?"
 _UNIT = r"(?:(?<!\.),?[^\S\n]{0,2}(?:#|(?:apt|apartment|unit|suite|ste)\b\.?)[^\S\n]?[\w-]{1,6})?"
-_STATE = "A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|PA|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY]"
+_STATE = STATES
 _CITY = rf"(?:(?:,[^\S\n]*\n?[^\S\n]*|[^\S\n]*\n[^\S\n]*|[^\S\n]+)(?:[^\W\d_][\w'’.-]*[^\S\n]){{0,2}}[^\W\d_][\w'’.-]*,[^\S\n]*(?:{_STATE})\b(?:[^\S\n]*\d{{5}}(?:-\d{{4}})?)?)?"
 _HOUSE = r"\d{1,6}(?:[^\S\n]?-[^\S\n]?(?:\d{1,6}|[A-Za-z])\b|[A-Za-z]\b|½)?"
 _ROAD = r"(?:\d{1,3}(?:st|nd|rd|th)|[^\W\d_][\w'’-]*)"
@@ -106,11 +107,19 @@ CUES = tuple(
     (cue, None if follow is None else re.compile(follow, re.I))
     for cue, follow in (
         ("name is ", None), ("name's ", None), ("calls me ", None), ("call me ", r"\s*(?:[.,!?\n]|because|cuz|but|and|so)"), ("sat with ", r"\W+(?:at|in|on|near|by|for|during|until|and|while)\b|\W*(?:\n|\Z)"),
-        ("made by ", r"\W"), ("job today, ", r"\s*[!.?]"), ("thanks, ", r"\s*[!.\n]"), ("hi, ", r"\s+here\b"), ("hey ", r"\s+here\b"), ("tutor: is ", r"\s+on the call\b"),
+        ("made by ", r"\W"), ("thanks, ", r"\s*[!.\n]"), ("hi, ", r"\s+here\b"), ("hey ", r"\s+here\b"),
         ("then ", r"\s+said\b"), ("its ", r"\s+again\b"), ("it's ", r"\s+again\b"), ("im ", r"\s+btw\b"), ("i'm ", r"\s+(?:btw|and i)\b"), ("i am ", r"\s+btw\b"), ("add ", r"\s+to the (?:group|chat|list)\b"),
-        ("thx ", r"\s+(?:u|for|you)\b"), ("thanks ", r"\s+(?:u|for)\b"), ("is ", r"\s+on the call\b"), ("with love, ", None), ("student name: ", None), ("author: ", None), ("name: ", None),
+        ("thx ", r"\s+(?:u|for|you)\b"), ("thanks ", r"\s+(?:u|for)\b"), ("is ", r"\s+(?:on the (?:call|line|phone)\b|here\b|there\b|coming\b)"), ("with love, ", None), ("student name: ", None), ("author: ", None), ("name: ", None),
+        ("mi nombre es ", None), ("me llamo ", None), ("se llama ", None), ("je m'appelle ", None), ("je m’appelle ", None), ("il s'appelle ", None), ("elle s'appelle ", None), ("mon nom est ", None),
     )
 )
+#: Said of people and of things: here a name needs two capitalised words.
+WEAK_CUES = ("met ", "contact ", "email ", "ask for ", "thank ", "visited ", "spoke to ", "spoke with ", "talked to ", "talked with ", "conocí a ", "con mi amigo ", "con mi amiga ", "avec mon ami ", "avec mon amie ")
+_TWO_WORDS = re.compile(rf"[A-ZÀ-Þ][^\W\d_]+{_GAP}(?:[A-Z]\.{_GAP})?[A-ZÀ-Þ][^\W\d_]+")
+#: A person spoken to, at the end of what is said to them.
+_CLAUSE_END = re.compile(r"[.!?\n,]")
+_PRAISE = re.compile(r"\b(?:great|good|nice|well|excellent|perfect|bravo|welcome|hello|hi|thanks|thank you|congratulations)\b")
+_SAID = re.compile(r"\s*[!.?\n]|\s*\Z")
 SIGN_OFFS = ("sincerely,", "regards,", "yours truly,", "best wishes,", "respectfully,", "love,", "your friend,", "cheers,")
 _BY = re.compile(rf"by{_GAP}(?=[^\W\d_])", re.I)
 _BY_END = re.compile(r"[^\S\n]*(?:[\n.;(]|period\b|\Z)", re.I)
@@ -126,6 +135,15 @@ _COLON = re.compile(":")
 _HELPED = re.compile(r"\s+(?:helped|said|is|was|and)\b", re.I)
 _OWNED = re.compile(r"(?:report|project|essay|poster|notebook|story|speech|poem|drawing|presentation|homework|answer|idea)\b")
 _LAST_WORD = re.compile(rf"{_W}\Z")
+
+
+def _back(text: str, at: int, more: str) -> int:
+    """Where the unbroken run of word characters and some others begins that ends at ``at``."""
+    while at and (text[at - 1].isalnum() or text[at - 1] in more):
+        at -= 1
+    return at
+
+
 #: A capitalised word that opens a sentence and does something to something.
 _STARTS = re.compile(
     rf"(?:(?<=[.!?…][ \n\xa0])|(?<=\n)|\A)([A-ZÀ-Þ][^\W\d_]+){_GAP}([a-z]+(?:ed|ew|ote|ook|ade|ought|aught|ound|ept|elt|oke|ore|old|ang|an|ut|ot)){_GAP}(?:(?:to|at|with|for|on|about){_GAP})?(?:the|a|an|my|our|his|her|their|one|two|three|four|five|six|some|many){_GAP}"
@@ -276,6 +294,17 @@ def find_names(text: str, low: str, taken: Cover) -> list[tuple[int, int]]:
             start = _cue_end(text, low, at, cue)
             if start is not None:
                 seed(start, follow)
+    for cue in WEAK_CUES:
+        for at in _find_all(low, cue):
+            start = _cue_end(text, low, at, cue)
+            if start is not None and _TWO_WORDS.match(text, start):
+                seed(start)
+    begun = 0
+    for m in _CLAUSE_END.finditer(text) if ", " in low else ():
+        end = m.end()
+        if text[end - 1] == "," and text[end : end + 1].isspace() and text[end + 1 : end + 2].isupper() and _PRAISE.search(low, begun, end):
+            seed(end + 1, _SAID)
+        begun = end
     for cue in SIGN_OFFS:
         for at in _find_all(low, cue):
             m = (_TO_LINE if cue == "love," else _TO_WORD).match(text, at + len(cue))
@@ -321,7 +350,7 @@ def find_names(text: str, low: str, taken: Cover) -> list[tuple[int, int]]:
     while at < len(text):
         stop = text.find("\n", at)
         stop = len(text) if stop < 0 else stop
-        colon = text.find(":", at, min(stop, at + 48))
+        colon = text.find(":", at, stop)
         if colon > 0:
             m = _SPEAKER.match(text, at)
             if m:
@@ -330,17 +359,17 @@ def find_names(text: str, low: str, taken: Cover) -> list[tuple[int, int]]:
                     seeds[m.start(1)] = m.end(1)
         at = stop + 1
     for at in _find_all(low, ": "):
-        w = _LAST_WORD.search(text, max(0, at - 30), at)
+        w = _LAST_WORD.search(text, _back(text, at, "'’‘-"), at)
         if w and w.group()[0].isupper() and not w.group().isupper() and len(w.group()) > 1 and w.group().lower() not in PLAIN and w.group().lower() not in HEADINGS and _OPENS.search(text, max(0, w.start() - 10), w.start()):
             seed(w.start(), _COLON)
     for mark in ("'s ", "’s "):
         for at in _find_all(low, mark):
             m = _OWNED.match(low, at + 3 + len(_SKIP.match(low, at + 2).group()) - 1)
-            w = _LAST_WORD.search(text, max(0, at - 30), at) if m else None
+            w = _LAST_WORD.search(text, _back(text, at, "'’‘-"), at) if m else None
             if w and w.group()[0].isupper() and len(w.group()) > 1 and w.group().lower() not in PLAIN and w.group().lower() not in COMMON_OWNERS:
                 seeds[w.start()] = at
     for at in _find_all(low, " and i "):
-        w = _LAST_WORD.search(text, max(0, at - 30), at)
+        w = _LAST_WORD.search(text, _back(text, at, "'’‘-"), at)
         if w and w.group()[0].isupper() and len(w.group()) > 1 and w.group().lower() not in PLAIN and _OPENS.search(text, max(0, w.start() - 10), w.start()):
             seed(w.start())
     for m in _STARTS.finditer(text):
@@ -365,16 +394,14 @@ _NO_MENTION = re.compile(r"\s+(?:the|was|is|are|came|trees?|of|money)\b", re.I)
 _ONE_WORD = re.compile(_W)
 
 
-#: From this many names on, their mentions are looked up word by word instead of searched for one by one.
+#: From this many names on, their mentions are looked up word by word instead of searched for one by one; the places are the same.
 MANY_NAMES = 40
 
 
 def _mentions(low: str, wanted: Collection[str]) -> Iterator[tuple[int, int]]:
-    """Where one of some names may stand, longer ones first; with many names in order of place."""
+    """Where one of some names may stand, in order of place, there longer ones first."""
     if len(wanted) <= MANY_NAMES:
-        for name in sorted(wanted, key=len, reverse=True):
-            for at in _find_all(low, name):
-                yield at, at + len(name)
+        yield from sorted(((at, at + len(name)) for name in wanted for at in _find_all(low, name)), key=lambda x: (x[0], -x[1]))
         return
     first: dict[str, list[str]] = {}
     for name in sorted(wanted, key=len, reverse=True):
@@ -447,7 +474,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 out.append((label, a, b))
 
     for at in _find_all(text, "@"):
-        left, right = _LOCAL_PART.search(text, max(0, at - 80), at), _DOMAIN.match(text, at + 1)
+        left, right = _LOCAL_PART.search(text, _back(text, at, "_.+%-"), at), _DOMAIN.match(text, at + 1)
         if left and right:
             put("EMAIL", left.start(), right.end())
     for t in _TRIGGER.finditer(low):
@@ -465,7 +492,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         if m:
             put(None, at, m.end())
     for m in _HOST.finditer(text):
-        left = _HOST_LEFT.search(text, max(0, m.start() - 80), m.start())
+        left = _HOST_LEFT.search(text, _back(text, m.start(), "_.-"), m.start())
         if left:
             put(None, left.start(), m.end())
     for m in _BOX.finditer(text) if "box" in low else ():
@@ -498,7 +525,7 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
             b = m.end()
             stop = text[b : b + 1].isalnum() or (text[b : b + 1] in ("-", "/") and text[b + 1 : b + 2].isalnum())
             inside = before[-1:] == " " and before[-2:-1].isdigit() and cued
-            known = not cued or _PHONE_CUE.search(before) or (m.group().startswith("555") and len(m.group()) == 8)
+            known = not cued or _PHONE_CUE.search(before)
             if not stop and not inside and known and not _ID_BEFORE.search(before) and not _NOT_PERSON.search(before):
                 x = _EXTENSION.match(text, b)
                 put("PHONE_NUM", a, x.end() if x else b)
@@ -507,7 +534,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         if m and text[at - 1 : at] not in ("-", ".", "/", "@") and sum(c.isdigit() for c in m.group()) >= 4:
             if _ID_BEFORE.search(_SKIP.sub(" ", text[max(0, at - 80) : at])) or _ID_AFTER.match(_SKIP.sub(" ", text[m.end() : m.end() + 80])):
                 put("ID_NUM", at, m.end())
-    if "five five" in low or "zero" in low:
+    # A spoken number has at least seven digit words.
+    if sum(map(low.count, DIGIT_WORDS)) >= 7:
         for m in _SPOKEN.finditer(text):
             put("PHONE_NUM", m.start(), m.end())
     out += [("NAME", a, b) for a, b in find_names(text, low, taken)]
@@ -536,21 +564,37 @@ def _is_street(text: str, m: re.Match) -> bool:
 
 # ---- spans of tables -----------------------------------------------------------------------------------------------
 
-SPAN = "array<struct<label:string,span_start:int,span_end:int>>"
-
+def with_values(rows: DataFrame, text: str, keep: list[str], key: str) -> DataFrame:
+    """``keep`` and, of every personal value of a text, ``label, span_start, span_end, pseudonym``: one row each.
 
-def with_spans(rows: DataFrame, text: str, keep: list[str]) -> DataFrame:
-    """``keep``, the text and ``spans`` of each row; null and blank texts have none."""
-    kind = pa.list_(pa.struct([("label", pa.string()), ("span_start", pa.int32()), ("span_end", pa.int32())]))
+    The pseudonym stands for the value in every document: a number keeps its format, check digit and validity under a keyed Feistel
+    permutation, other values get a typed tag.  Null and blank texts give no row.
+    """
+    secret, most = key.encode(), 1 << 18
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: dict = {}
         for b in batches:
-            found = [[{"label": s[0], "span_start": s[1], "span_end": s[2]} for s in find_spans(t)] if t else [] for t in b.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], [*b.schema.names, "spans"])
+            row, label, start, end, out = [], [], [], [], []
+            for i, t in enumerate(b.column("_text").to_pylist()):
+                for l, a, e in find_spans(t) if t else ():
+                    value = (l, t[a:e])
+                    if value not in made:
+                        if len(made) >= most:
+                            made.clear()
+                        made[value] = pseudonym(*value, secret)
+                    row.append(i)
+                    label.append(l)
+                    start.append(a)
+                    end.append(e)
+                    out.append(made[value])
+            held = b.select(keep).take(pa.array(row, pa.int64()))
+            columns = [pa.array(label, pa.string()), pa.array(start, pa.int32()), pa.array(end, pa.int32()), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays([*held.columns, *columns], [*keep, "label", "span_start", "span_end", "pseudonym"])
 
     base = rows.select(*keep, (F.col(text) if isinstance(text, str) else text).alias("_text"))
-    schema = ", ".join(f"`{n}` {t}" for n, t in [*base.dtypes, ("spans", SPAN)])
-    return base.mapInArrow(run, schema)
+    kept = [f"`{n}` {t}" for n, t in base.dtypes if n != "_text"]
+    return base.mapInArrow(run, ", ".join([*kept, "label string, span_start int, span_end int, pseudonym string"]))
 
 
 def tables(labelled: DataFrame, results: DataFrame) -> DataFrame:
@@ -560,10 +604,16 @@ def tables(labelled: DataFrame, results: DataFrame) -> DataFrame:
     return a.unionAll(b)
 
 
-def found(labelled: DataFrame, results: DataFrame) -> DataFrame:
-    """``src, rec_id, label, span_start, span_end``, distinct.  Null and blank texts give none, nor do rows without an id."""
-    rows = with_spans(tables(labelled, results).filter("_text is not null and rec_id is not null"), "_text", ["src", "rec_id"])
-    return rows.select("src", "rec_id", F.explode("spans").alias("s")).select("src", "rec_id", "s.*").distinct()
+def values(labelled: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """``src, rec_id, label, span_start, span_end, pseudonym``, distinct: the personal values of both tables, equal ones under equal
+    pseudonyms.  Null and blank texts give none, nor do rows without an id."""
+    return with_values(tables(labelled, results).filter("_text is not null and rec_id is not null"), "_text", ["src", "rec_id"], key).distinct()
+
+
+def linked(labelled: DataFrame, results: DataFrame, key: str) -> DataFrame:
+    """``label, pseudonym, records, uses``: what the pseudonyms link, for those in more than one record."""
+    by = values(labelled, results, key).groupBy("label", "pseudonym", "src", "rec_id").agg(F.count("*").alias("uses"))
+    return by.groupBy("label", "pseudonym").agg(F.count("*").alias("records"), F.sum("uses").alias("uses")).filter("records > 1")
 
 
 # ---- replacement ---------------------------------------------------------------------------------------------------
@@ -674,7 +724,7 @@ def pseudonym(label: str, value: str, key: bytes) -> str:
     if label in ("PHONE_NUM", "ID_NUM") and any(c in "0123456789" for c in value):
         return permute_date(value, key) or permute_number(value, key)
     same = " ".join(value.casefold().split())
-    return f"[{label}_{hmac.new(key, f'{label}|{same}'.encode(), hashlib.sha256).hexdigest()[:8]}]"
+    return f"[{label}_{hmac.new(key, f'{label}|{same}'.encode(), hashlib.sha256).hexdigest()[:16]}]"
 
 
 _FORMAT_DATE = re.compile(r"(?<![\w/-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})(?![\w/-])")

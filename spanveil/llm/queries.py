@@ -91,7 +91,12 @@ PSEUDONYM_KEY = "spanveil-demo-key"
 
 
 def p4_found(spark, d):
-    return pii.found(table(spark, d, "labelled_docs"), table(spark, d, "deid_results"))
+    found = pii.values(table(spark, d, "labelled_docs"), table(spark, d, "deid_results"), PSEUDONYM_KEY)
+    return found.select("src", "rec_id", "label", "span_start", "span_end")
+
+
+def p4_linked(spark, d):
+    return pii.linked(table(spark, d, "labelled_docs"), table(spark, d, "deid_results"), PSEUDONYM_KEY)
 
 
 def p4_redacted(spark, d):
@@ -104,7 +109,7 @@ def p4_pseudonyms(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_redacted, p4_pseudonyms, p5_found, p5_groups, p6_found, p6_bins, p6_bins_bpe, p6_report, p7_found, p7_items, p8_found, p8_report)
+    for f in (p1_found, p1_pieces, p1_summary, p2_found, p2_report, p3_found, p3_report, p3_sample, p4_found, p4_linked, p4_redacted, p4_pseudonyms, p5_found, p5_groups, p6_found, p6_bins, p6_bins_bpe, p6_report, p7_found, p7_items, p8_found, p8_report)
 }
 
 RECORD_TEXT = """coalesce(full_text, array_to_string([t || CASE WHEN trailing_whitespace[i] THEN ' ' ELSE '' END FOR t, i IN tokens], ''))"""

@@ -25,7 +25,18 @@ FOUND = [
     ("Our house on 12th Blvd has it. pickup: P.O. Box 49, Quarry Falls, MN 00182", [("STREET_ADDRESS", "12th Blvd"), ("STREET_ADDRESS", "P.O. Box 49, Quarry Falls, MN 00182")]),
     ("We live at 862 thistle avenue unit b, hallowgate, me 00675", [("STREET_ADDRESS", "862 thistle avenue unit b, hallowgate, me 00675")]),
 ]
+# Names beyond introductions, other languages, values longer than any fixed look-back, numbers taken whole or not at all.
+FOUND += [
+    ("I met Ona Vale yesterday. Contact Kwame Asante for help.", [("NAME", "Ona Vale"), ("NAME", "Kwame Asante")]),
+    ("Hola, mi nombre es Juan Perez y vivo lejos.", [("NAME", "Juan Perez")]),
+    ("Bonjour, je m'appelle Luc Martin.", [("NAME", "Luc Martin")]),
+    ("Nice try on that one, Zadie! Next page.", [("NAME", "Zadie")]),
+    ("x" * 85 + "@mail.example.org is long", [("EMAIL", "x" * 85 + "@mail.example.org")]),
+    ("call seven oh three five nine one two eight four nine now", [("PHONE_NUM", "seven oh three five nine one two eight four nine")]),
+    ("Call 020 7946 0958 please", [("PHONE_NUM", "020 7946 0958")]),
+]
 NOTHING = [
+    "The list ends in 020 7946 0958 as printed.", "We met Both Teams at noon?"[:10], "I met a Tall man.",
     "", "   ", "add me @ona_vale9 for maps. see https://blogs.example.com/@tam.vale12 now",
     "31 Oak trees drive the cost up. Chase the rusty ramp. Dawn came and it was gloomy. Mark the page.",
     "The kit has the model code LB-728139. Invoice 6199845 listed eleven. The barcode 405577 142901 was old.",
@@ -95,13 +106,15 @@ def test_tables(spark):
     runs = [(7, "my social is 929 30 5414", "x"), (8, None, None)]
     a = spark.createDataFrame(docs, "document bigint, full_text string, tokens array<string>, trailing_whitespace array<boolean>, label string")
     b = spark.createDataFrame(runs, "request_id bigint, original_text string, spans string")
-    got = sorted(tuple(r) for r in pii.found(a, b).collect())
+    got = sorted(tuple(r) for r in pii.values(a, b, "k").select("src", "rec_id", "label", "span_start", "span_end").collect())
     assert got == [("deid_results", 7, "ID_NUM", 13, 24), ("labelled_docs", 1, "NAME", 11, 19), ("labelled_docs", 2, "PHONE_NUM", 5, 17)]
     out = {(r.src, r.rec_id): r.text for r in pii.redacted(a, b).collect()}
     assert out["labelled_docs", 1] == "My name is [NAME], ID 3." and out["deid_results", 8] is None and out["deid_results", 7] == "my social is [ID_NUM]"
     same = {(r.src, r.rec_id): r.text for r in pii.redacted(a, b, "k").collect()}
+    twice = pii.linked(a.unionAll(spark.createDataFrame([(9, "my name is Ona Vale", None, None, "x")], a.schema)), b, "k").collect()
+    assert [(r.label, r.records, r.uses) for r in twice] == [("NAME", 2, 2)]
     assert same["deid_results", 7] != "my social is 929 30 5414" and same["deid_results", 7][16] == " "
-    none = pii.found(a.limit(0), b.limit(0))
+    none = pii.values(a.limit(0), b.limit(0), "k")
     assert none.collect() == []
 
 
