@@ -1,11 +1,12 @@
 """Problem 8: texts that were cut off.
 
-A structural check of how a text ends.  A stack automaton follows quotes and round and square brackets through the whole text
-and says what is still open at its end; patterns tell broken multibyte sequences, broken escapes, an unfinished tag and the marks
-a transfer leaves at a cut.  Left out: markup elements and braces are not on the stack, so an element that is never closed is no
-evidence, and an open quote or bracket counts only if it was opened in the last sentence and line and the text has no terminator.  What remains is judged against the corpus: how often the last word ends a sentence or a line elsewhere, whether
-it is only the beginning of other words, which exact lengths a source produces far too often, and how many of the
-texts of a source and genre carry a terminator.
+A stack automaton reads a text and holds what is open: quotes, brackets, braces, markup elements, and the sentence it is in.  What is
+left on the stack at the end, broken multibyte sequences and escapes, an unfinished tag and the marks a transfer leaves are the
+evidence.  A sentence left open is judged against the baseline of its source and genre (how many of those texts end properly) and,
+since a complete text may merely lack its last full stop, needs a tie-break: counts over the corpus say whether the last words go on
+elsewhere, or are only the beginnings of longer ones.
+
+A quote or bracket counts only if it was opened in the last sentence and line; what stays open longer is forgotten punctuation.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanveil.plans.session import stage
+from spanveil.plans.session import Scratch
 
 #: A length is a limit of its source, and a source reports sizes honestly, when this many texts of that length (or shorter
 #: than reported) show by themselves that they were cut, and these are at least half of them.
@@ -41,41 +42,55 @@ _ENDS = re.compile(r"[.!?…。！？](?:[\"'”’»)\]*_]|\s)*\Z")
 # An emoticon, or a symbol outside ASCII that is no punctuation.
 _SMILE = re.compile(r"(?:[:;=8][-'^]?[)(DPpoO3\]/|]|<3|[^\x00-\x7f\w\s…‥–—‒“”„‘’‚«»‹›¿¡�])\Z")
 _DOTS = re.compile(r"(?:\.\.\.+|…)\s*\Z")
-_OPEN = re.compile(r"[\"“”«»()\[\]\n]")
-_PAIR = {")": "(", "]": "[", "”": "“", "»": "«"}
+_OPEN = re.compile(r"[\"“”«»()\[\]{}\n]|<(/?)([a-zA-Z][\w-]*)(?:[^<>\n]*?)(/?)>")
+_PAIR = {")": "(", "]": "[", "}": "{", "”": "“", "»": "«"}
+#: Elements that needn't be closed.
+LOOSE = frozenset("br hr img input meta link wbr p li dt dd td th tr option".split())
 
 
 def open_at_end(text: str) -> list[tuple[str, int]]:
-    """Stack of quotes and brackets still open at the end of the text, with their positions.
+    """Stack of quotes, brackets, braces and markup elements still open at the end of the text, with their positions.
 
-    Straight quotes toggle; a closer pops down to its opener; an opener dies at a blank line, where writing starts anew.
+    Straight quotes toggle; a closer pops down to its opener; quotes and brackets die at a blank line, where writing starts anew, elements
+    don't.
     """
     stack: list[tuple[str, int]] = []
     held: Counter = Counter()
     last_break = -2
     for m in _OPEN.finditer(text):
         c, at = m.group(), m.start()
-        if c == "\n":
+        if m.group(2):
+            name = m.group(2).lower()
+            want = f"<{name}>"
+            if name in LOOSE or m.group(3):
+                continue
+            if not m.group(1):
+                stack.append((want, at))
+                held[want] += 1
+                continue
+        elif c == "\n":
             if at == last_break + 1:
-                stack.clear()
-                held.clear()
+                stack = [x for x in stack if x[0][0] == "<"]
+                held = Counter(x[0] for x in stack)
             last_break = at
-        elif c in "([“«" or (c == '"' and not held['"']):
+            continue
+        elif c in "([{“«" or (c == '"' and not held['"']):
             stack.append((c, at))
             held[c] += 1
+            continue
         else:
             want = _PAIR.get(c, '"')
-            if held[want]:
-                while True:
-                    top = stack.pop()[0]
-                    held[top] -= 1
-                    if top == want:
-                        break
+        if held[want]:
+            while True:
+                top = stack.pop()[0]
+                held[top] -= 1
+                if top == want:
+                    break
     return stack
 
 
 def ending(text: str) -> dict:
-    """How a text ends: ``mark`` (hard evidence left by the transfer), ``open`` (quote or bracket opened in the last sentence),
+    """How a text ends: ``mark`` (hard evidence left by the transfer), ``open`` (kind of what is left open: quote, bracket or element),
     ``done`` (terminator), ``dots``,
     ``smile`` (emoticon or symbol), ``word`` (last word in lower case, if the text ends in it) and ``pair`` (with the word before it in its sentence)."""
     body = text.rstrip()
@@ -92,8 +107,13 @@ def ending(text: str) -> dict:
     core = _DOTS.sub("", body).rstrip() if dots else body
     done = bool(_ENDS.search(core)) or (dots and not core)
     left = open_at_end(core)
-    since = core[left[-1][1] :] if left else ""
-    is_open = bool(left) and not done and not re.search(r"[.!?…]\s", since) and "\n" not in since
+    kind = None
+    if any(x[0][0] == "<" for x in left):
+        kind = "element"
+    elif left and not done:
+        since = core[left[-1][1] :]
+        if not re.search(r"[.!?…]\s", since) and "\n" not in since:
+            kind = "quote" if left[-1][0] in '"“«' else "bracket"
     tail = core[-1:]
     word = pair = None
     if tail.isalnum():
@@ -106,10 +126,10 @@ def ending(text: str) -> dict:
         pair = f"{before.group(1)} {word}" if before and word else None
     return {
         "mark": mark,
-        "open": is_open,
+        "open": kind,
         "done": done,
         "dots": dots,
-        "smile": bool(_SMILE.search(core)) and not is_open,
+        "smile": bool(_SMILE.search(core)) and kind is None,
         "word": word,
         "pair": pair,
         "tail": tail,
@@ -119,7 +139,7 @@ def ending(text: str) -> dict:
 ENDINGS = T.StructType(
     [
         T.StructField("mark", T.StringType()),
-        T.StructField("open", T.BooleanType()),
+        T.StructField("open", T.StringType()),
         T.StructField("done", T.BooleanType()),
         T.StructField("dots", T.BooleanType()),
         T.StructField("smile", T.BooleanType()),
@@ -229,25 +249,27 @@ def _known(terms: DataFrame, uses: DataFrame) -> DataFrame:
 
 
 def judged(documents: DataFrame) -> DataFrame:
-    """Every document with text that isn't blank: ``doc_id, source, genre, cut, why``.
+    """Every document with text that isn't blank: ``doc_id, source, genre, cut, why, tie``.
 
-    ``why`` names the first evidence: residue, bytes, escape, markup, open, fragment (the last word is only the beginning of
-    others), inside (the last words go on elsewhere), limit (unfinished at a length at which the source cuts), reported (unfinished and
-    shorter than reported), tail (stops after a comma or the like where texts of the source and genre end properly).  Texts that end in a
+    ``why`` names the first evidence: residue, bytes, escape, markup (an unfinished tag), quote, bracket, element (left open), sentence (left
+    open), limit (left open at a length at which the source cuts), reported (left open and shorter than reported), tail (stops after a comma
+    or the like where texts of the source and genre end properly).  ``tie`` says what speaks against a forgotten full stop: fragment (the
+    last word is only the beginning of others) or inside (the last words go on elsewhere).  Texts that end in a
     terminator, an emoticon, a habitual closing or merely without punctuation are whole; dots count as whole after words that can end a
     sentence.  Null and blank texts and rows without an id give no row; repeated rows of a ``doc_id`` count once.
     """
-    uses = stage(word_uses(documents), "truncation-uses")
-    ends = stage(endings(documents).dropDuplicates(["doc_id"]), "truncation-endings")
+    scratch = Scratch(documents.sparkSession)
+    stage = scratch.stage
+    uses = stage(word_uses(documents), "uses")
+    ends = stage(endings(documents).dropDuplicates(["doc_id"]), "endings")
     terms = ends.select(F.explode(F.array("word", "pair")).alias("term")).filter("term is not null").groupBy("term").agg(F.count("*").alias("finals"))
-    known = stage(_known(terms, uses), "truncation-known")
+    known = stage(_known(terms, uses), "known")
     stat = lambda c, p: known.select(F.col("term").alias(c), *[F.col(x).alias(p + x) for x in ("finals", "uses", "ends", "longer")])
     base = ends.groupBy("source", "genre").agg(F.avg(F.col("done").cast("int")).alias("finished"))
-    x = (
-        ends.join(stat("word", "w_"), "word", "left")
-        .join(stat("pair", "p_"), "pair", "left")
-        .join(base.select(F.col("source").alias("s"), F.col("genre").alias("g"), "finished"), ends.source.eqNullSafe(F.col("s")) & ends.genre.eqNullSafe(F.col("g")), "left")
-    )
+    # Most texts end in no word: they have nothing to look up, and would all meet in one task.
+    worded = ends.filter("word is not null").join(stat("word", "w_"), "word", "left").join(stat("pair", "p_"), "pair", "left")
+    x = worded.unionByName(ends.filter("word is null"), allowMissingColumns=True)
+    x = x.join((base.select(F.col("source").alias("s"), F.col("genre").alias("g"), "finished")), x.source.eqNullSafe(F.col("s")) & x.genre.eqNullSafe(F.col("g")), "left")
     digits = F.col("word").rlike(r"^\d+$")
     used = lambda c, least: F.coalesce(F.col(c) >= least, F.lit(False))
     habit = (
@@ -264,18 +286,18 @@ def judged(documents: DataFrame) -> DataFrame:
         .otherwise(False)
     )
     fragment = ~used("p_uses", KNOWN) & (used("p_longer", KNOWN) | (~used("w_uses", KNOWN) & used("w_longer", KNOWN)))
+    tie = F.when(plain & fragment, "fragment").when(plain & inside, "inside")
     own = (
         F.when(F.col("mark").isNotNull(), F.col("mark"))
-        .when(F.col("open"), "open")
-        .when(plain & fragment, "fragment")
-        .when(plain & inside, "inside")
+        .when(F.col("open").isNotNull(), F.col("open"))
+        .when(tie.isNotNull(), "sentence")
         .when(unfinished & F.col("tail").isin(*",;:(–-/&") & (F.col("finished") >= HALF), "tail")
     )
     # A reported size that equals the bytes is no hint.
     short = F.coalesce((F.col("reported") > F.col("chars")) & (F.col("reported") != F.col("bytes")), F.lit(False))
     seen = stage(
-        x.select("doc_id", "source", "genre", "chars", "bytes", own.alias("own"), short.alias("short"), (plain & ~F.col("dots")).alias("bare"), (unfinished & ~F.coalesce(habit, F.lit(False)) & ~F.col("dots")).alias("loose")),
-        "truncation-seen",
+        x.select("doc_id", "source", "genre", "chars", "bytes", own.alias("own"), F.when(own == "sentence", tie).alias("tie"), short.alias("short"), (plain & ~F.col("dots")).alias("bare"), (unfinished & ~F.coalesce(habit, F.lit(False)) & ~F.col("dots")).alias("loose")),
+        "seen",
     )
     hits = F.count("own").alias("hits")
     enough = (F.col("hits") >= LEAST) & (F.col("hits") >= HALF * F.col("n"))
@@ -295,7 +317,7 @@ def judged(documents: DataFrame) -> DataFrame:
         .when(F.col("loose") & (F.col("cl").isNotNull() | F.col("bl").isNotNull()), "limit")
         .when(F.col("bare") & F.col("short") & F.col("honest"), "reported")
     )
-    return y.select("doc_id", "source", "genre", why.isNotNull().alias("cut"), why.alias("why"))
+    return y.select("doc_id", "source", "genre", why.isNotNull().alias("cut"), why.alias("why"), "tie")
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -17,8 +17,10 @@ def test_marks(text, mark):
 def test_stack():
     assert tr.open_at_end('He said "yes" and (left') == [("(", 18)]
     assert tr.open_at_end('a "b (c" d') == [] and tr.open_at_end("(a\n\nb") == [] and tr.open_at_end(") ] ”") == []
-    assert tr.ending('One. We saw the "sphe')["open"] and not tr.ending('One "two. Three four')["open"]
-    assert not tr.ending("Is it 5 o'clock")["open"]
+    assert tr.open_at_end("<div><p>a {b} {c") == [("<div>", 0), ("{", 14)] and tr.open_at_end("<b>a\n\nb</b> <br> <i/>") == []
+    assert tr.ending('One. We saw the "sphe')["open"] == "quote" and tr.ending('One "two. Three four')["open"] is None
+    assert tr.ending("One <div>two.")["open"] == "element" and tr.ending("set {a, b")["open"] == "bracket" and tr.ending("if a < b and c > d.")["open"] is None
+    assert tr.ending("Is it 5 o'clock")["open"] is None
 
 
 def corpus():
@@ -61,6 +63,7 @@ def test_corpus(spark):
     out = tr.judged(spark.createDataFrame(rows, SCHEMA)).collect()
     assert sorted(r.doc_id for r in out) == sorted({r[0] for r in rows if r[0] is not None and r[1] and r[1].strip()})
     got = {r.doc_id for r in out if r.cut}
+    assert {r.why for r in out if r.cut} <= {"sentence", "limit", "reported", "tail"} and {r.tie for r in out if r.why == "sentence"} <= {"fragment", "inside"}
     missed, wrong = cut - got, got - cut
     assert len(missed) <= 0.04 * len(cut) and len(wrong) <= 0.04 * len(cut), (missed, wrong)
     report = {r.source: r for r in tr.truncation_report(spark.createDataFrame(rows, SCHEMA)).collect()}
