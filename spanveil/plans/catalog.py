@@ -108,6 +108,30 @@ BUILT = {
     "det_uuid": Built("orders", "o_orderkey", ("ad id ", (UUID_VALUE, "DEVICE_ID"), " set"), "uuid"),
     "det_geo": Built("orders", "o_orderkey", ("at ", (f"'40.' || {num('o_orderkey', 4, 10000)} || ', -74.' || {num('o_orderkey', 4, 10000)}", "GEO"), " now"), "geo"),
 }
+# A made-up name per customer: its key as letters.
+CNAME = "'Q' || translate(lpad(CAST(c_custkey AS STRING), 6, '0'), '0123456789', 'abcdefghij')"
+DAY = "CAST(1 + c_custkey % 28 AS STRING)"
+#: The other forms of the detectors, one each.
+BUILT |= {
+    "det_phone_intl": Built("customer", "c_custkey", ("Ring ", (f"'+44 7700 ' || {num('c_custkey', 3, 900, 100)} || ' ' || {num('c_custkey', 3, 900, 100)}", "PHONE_NUM"), " please"), "phone"),
+    "det_date_long": Built("customer", "c_custkey", ("On ", (f"'March ' || {DAY} || ', 2012'", "DATE"), " we left, back ", (f"'Sept. ' || {DAY} || 'th 2013'", "DATE"), " or so"), "date"),
+    "det_date_us": Built("customer", "c_custkey", ("due ", (f"'03/' || {DAY} || '/2012'", "DATE"), ", never 13/40/2012 or 3/4/12"), "date"),
+    "det_user_cue": Built("customer", "c_custkey", ("username: ", (f"'kit' || {text_of('c_custkey')} || 'x'", "USERNAME"), " ok, login = ", (f"'pat' || {text_of('c_custkey')}", "USERNAME"), " too"), "user"),
+    "det_user_is": Built("customer", "c_custkey", ("my username on it is ", (f"'kit' || {text_of('c_custkey')}", "USERNAME"), " and not taken"), "user"),
+    "det_user_platform": Built("customer", "c_custkey", ("discord ", (f"'kit_' || {text_of('c_custkey')}", "USERNAME"), " works"), "user"),
+    "det_user_platform_is": Built("customer", "c_custkey", ("my snap for class is ", (f"'kit_' || {text_of('c_custkey')}", "USERNAME"), " today"), "user"),
+    "det_name_signoff": Built("customer", "c_custkey", ("See you.", ("chr(10) || 'Sincerely,' || chr(10)", None), (f"'Ona ' || {CNAME}", "NAME_STUDENT"), ("chr(10) || 'Room 4'", None)), "name"),
+    "det_name_by": Built("customer", "c_custkey", ("Written by ", (f"'Ona ' || {CNAME}", "NAME_STUDENT"), ", made by hand"), "name"),
+    "det_related_called": Built("customer", "c_custkey", ("Their little cousin called ", (CNAME, "NAME_RELATED"), " laughed"), "related"),
+    "det_school_of": Built("customer", "c_custkey", ("She went to the ", (f"'University of ' || {CNAME}", "SCHOOL"), " in May"), "school"),
+    "det_age_forms": Built("customer", "c_custkey", ("he is ", ("CAST(7 + c_custkey % 11 AS STRING)", "AGE"), " yo and turning ", ("CAST(8 + c_custkey % 11 AS STRING)", "AGE"), " soon"), "age"),
+    "det_id_cue_forms": Built("customer", "c_custkey", ("badge: ", (f"'K-' || {num('c_custkey', 6)}", "ID_NUM"), ", lunch number ", (num("c_custkey", 6), "ID_NUM"), " and roll no. ", (f"'R' || {num('c_custkey', 5)}", "ID_NUM"), "."), "id_cue"),
+}
+#: Sentences in which nothing is to be found.
+HARMLESS = (
+    "'We live near 12 Oak Tracks and mile ' || CAST(c_custkey AS STRING)", "'Pages 1200-1350 and version 10.1.2.3.' || CAST(c_custkey % 9 AS STRING)", "'I handle issue ' || CAST(c_custkey % 90 AS STRING) || ' and twitter is great'",
+    "'In High School we get ' || CAST(c_custkey % 90 AS STRING) || ' more pages'", "'It was 3/4/12 or ' || CAST(c_custkey % 90 AS STRING) || ' days later'", "'see www.wikipedia.org for ' || CAST(c_custkey % 90 AS STRING) || ' more'",
+)
 MIXED = Built(
     "customer", "c_custkey",
     ("Write to ", (f"'c' || {text_of('c_custkey')} || '@mail.example.com'", "EMAIL"), " or call ", (f"'703-555-' || {num('c_custkey', 4, 10000)}", "PHONE_NUM"),
@@ -115,6 +139,8 @@ MIXED = Built(
 )
 NAMED = Built("nation", "n_nationkey", ("My name is ", (f"'Ona ' || {NAME}", "NAME_STUDENT"), ". We like ", (NAME, "NAME_STUDENT"), ("chr(39) || 's ideas and '", None), ("'Ona'", "NAME_STUDENT"), "."))
 
+CALLED = Built("customer", "c_custkey", ("My name is ", (f"'Ona ' || {CNAME}", "NAME_STUDENT"), ". We like ", (CNAME, "NAME_STUDENT"), ("chr(39) || 's ideas and '", None), ("'Ona'", "NAME_STUDENT"), ", not Onaq."))
+
 GOLD = """
     WITH docs AS (SELECT document, any_value(tokens) AS t, any_value(trailing_whitespace) AS w, any_value(labels) AS l FROM labelled_docs WHERE labels IS NOT NULL GROUP BY document),
     tok AS (SELECT document, i, length(t[i]) AS n, CASE WHEN w[i] THEN 1 ELSE 0 END AS w, upper(trim(coalesce(l[i], 'O'))) AS x FROM (SELECT *, unnest(range(1, len(t) + 1)) AS i FROM docs)),
@@ -198,6 +224,17 @@ def det_all(spark, d):
     return MIXED.spans(spark, d)
 
 
+def det_nothing(spark, d):
+    """Spans in sentences without any identifier."""
+    texts = busy(table(spark, d, "customer")).selectExpr("CAST(c_custkey AS BIGINT) AS key", f"explode(array({', '.join(HARMLESS)})) AS text")
+    return texts.select("key", F.size(detectors.detect(F.col("text"))).cast("bigint").alias("spans")).groupBy("key").agg(F.sum("spans").alias("spans"), F.count("*").alias("texts"))
+
+
+def propagate_customers(spark, d):
+    """Names introduced once and mentioned again, a text per customer."""
+    return flat(analyze(CALLED.frame(spark, d)))
+
+
 def det_labels(spark, d):
     return Built(MIXED.table, MIXED.key, MIXED.parts, labels=("EMAIL", "IP_ADDRESS")).spans(spark, d)
 
@@ -731,7 +768,7 @@ def label_counts_by_day(spark, d):
 
 
 OTHERS = {
-    "masked_by_lang": masked_by_lang, "det_all": det_all, "det_labels": det_labels, "propagate": propagate, "analyze": analyze_query, "extract": extract, "by_label": by_label_query, "doc_email": doc_email,
+    "masked_by_lang": masked_by_lang, "det_all": det_all, "det_labels": det_labels, "det_nothing": det_nothing, "propagate_customers": propagate_customers, "propagate": propagate, "analyze": analyze_query, "extract": extract, "by_label": by_label_query, "doc_email": doc_email,
     "overlaps": overlaps_query, "span_trim": span_trim, "resolve": resolve_query, "stopword": stopword, "digits_only": digits_only, "luhn": luhn, "url_is_personal": url_is_personal, "hash_value": hash_value,
     "shift_date": shift_date, "surrogate": surrogate, "tokenise": tokenise, "pol_filter": pol_filter, "method": method, "method_label": method_label, "deid_mask": deid_mask, "deid_coppa": deid_coppa,
     "deid_hash": deid_hash, "deid_replace": deid_replace, "deid_keep": deid_keep, "deid_requests": deid_requests, "replacements": replacements, "leak_check": leak_check, "quarantine": quarantine, "audit": audit,
@@ -766,6 +803,9 @@ MASKED = _joined(MIXED, _masked)
 
 SQL = {
     "det_all": MIXED.sql(),
+    "det_nothing": f"SELECT CAST(c_custkey AS BIGINT) AS key, CAST(0 AS BIGINT) AS spans, CAST({len(HARMLESS)} AS BIGINT) AS texts FROM customer",
+    "propagate_customers": CALLED.sql(),
+    "essay_bio": r"""SELECT key, 8 + n AS tokens, n AS inside, 'B-NAME_STUDENT' AS seventh FROM (SELECT CAST(c_custkey AS BIGINT) AS key, CAST(len(regexp_extract_all(c_name, '\w+|[^\w\s]')) AS BIGINT) AS n FROM customer)""",
     "det_labels": MIXED.sql(lambda l: l in ("EMAIL", "IP_ADDRESS")),
     "propagate": NAMED.sql(),
     "analyze": MIXED.sql(),
