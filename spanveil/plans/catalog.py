@@ -558,6 +558,27 @@ def win(spark, d):
     return w.select("doc_id", F.size("w").cast("bigint").alias("windows"), (covered == F.length("text")).alias("tiles"))
 
 
+def win_words(spark, d):
+    """Windows of texts of equal words: how many, and where the first one's kept range ends."""
+    t = table(spark, d, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS key", "repeat('abcd ', CAST(100 + c_custkey % 2000 AS INT)) AS text")
+    w = t.select("key", scorer.windows(F.col("text")).alias("w"))
+    return w.select("key", F.size("w").cast("bigint").alias("windows"), F.col("w")[0]["keep_to"].cast("bigint").alias("first_kept"), F.element_at("w", -1)["start"].cast("bigint").alias("last_start"))
+
+
+PIECES = ("O", "B-NAME_STUDENT", "I-NAME_STUDENT", "I-ID_NUM")
+
+
+def decode_pieces(spark, d):
+    """Spans from word pieces with given probabilities: pieces of one value join, a piece of a word stands for all of it."""
+    odds = lambda k, p: "array(" + ", ".join(str(p if i == k else round((1 - p) / 3, 6)) + "D" for i in range(4)) + ")"
+    parts = ((0, 2, 0, 0.9), (3, 6, 3, 0.9), (6, 10, 3, 0.7), (11, 13, 0, 0.8), (14, 17, 1, 0.8), (18, 21, 2, 0.6), (0, 0, 1, 0.9))
+    tokens = ", ".join(f"named_struct('s', {a}, 'e', {b}, 'p', {odds(k, p)})" for a, b, k, p in parts)
+    df = table(spark, d, "customer").selectExpr("CAST(c_custkey AS BIGINT) AS key", f"'ID ' || {num('c_custkey', 7)} || ' by Ona ' || {CNAME} || '.' AS text", f"array({tokens}) AS tokens")
+    found = df.select("key", F.explode(scorer.decode(F.col("text"), scorer.chosen(F.col("tokens")), PIECES)).alias("s"))
+    at = lambda c: F.col(f"s.{c}").cast("bigint").alias(f"span_{c}")
+    return found.select("key", "s.label", F.col("s.text").alias("value"), at("start"), at("end"), F.round("s.confidence", 4).alias("confidence"))
+
+
 STUB_CLASSES = ["O", *[c for c in CLASS_IDS if c != "O"]]
 
 
@@ -774,7 +795,7 @@ OTHERS = {
     "deid_hash": deid_hash, "deid_replace": deid_replace, "deid_keep": deid_keep, "deid_requests": deid_requests, "replacements": replacements, "leak_check": leak_check, "quarantine": quarantine, "audit": audit,
     "audit_summary": audit_summary, "rebuild": rebuild, "rebuilt_text": rebuilt_text, "score": score, "exposed": exposed, "prf": prf, "label_scope": label_scope, "report": report, "leak_report": leak_report,
     "rules_quality": rules_quality, "is_positive": is_positive, "encode": encode, "char_project": char_project, "renumber": renumber, "split": split, "marks": marks, "essay_bio": essay_bio, "token_metrics": token_metrics,
-    "f_beta": f_beta, "softmax": softmax, "argmax": argmax, "quant_agree": quant_agree, "win": win, "model_authority": model_authority, "gen_k12": gen_k12, "gen_essay": gen_essay, "cued_quality": cued_quality,
+    "f_beta": f_beta, "softmax": softmax, "argmax": argmax, "quant_agree": quant_agree, "win": win, "win_words": win_words, "decode_pieces": decode_pieces, "model_authority": model_authority, "gen_k12": gen_k12, "gen_essay": gen_essay, "cued_quality": cued_quality,
     "src_manifest": src_manifest, "src_policies": src_policies, "fp_policy": fp_policy, "src_limit": src_limit, "src_rest": src_rest, "snk_corpus": snk_corpus, "snk_json": snk_json, "snk_synth": snk_synth, "regulation_map": regulation_map,
     "label_counts_by_day": label_counts_by_day, "src_text": src_text, "stream_masked": stream_masked, "src_dataset": src_dataset, "snk_report": snk_report, "resolve_model": resolve_model, "r_mask": r_mask, "r_hash": r_hash, "r_keep": r_keep,
     "r_shift": r_shift, "shift_days": shift_days, "leak_gaps": leak_gaps, "spoken_email": spoken_email, "decode": decode, "subtoken_align": subtoken_align, "explode_windows": explode_windows,
@@ -803,6 +824,10 @@ MASKED = _joined(MIXED, _masked)
 
 SQL = {
     "det_all": MIXED.sql(),
+    "win_words": """SELECT key, windows, CASE WHEN windows > 1 THEN 1900 ELSE 5 * n END AS first_kept, 1800 * (windows - 1) AS last_start FROM (
+        SELECT key, n, 1 + CAST(ceil(greatest(0, 5 * n - 2000) / 1800.0) AS BIGINT) AS windows FROM (SELECT CAST(c_custkey AS BIGINT) AS key, CAST(100 + c_custkey % 2000 AS BIGINT) AS n FROM customer))""",
+    "decode_pieces": f"""SELECT CAST(c_custkey AS BIGINT) AS key, 'ID_NUM' AS label, {num('c_custkey', 7)} AS value, CAST(3 AS BIGINT) AS span_start, CAST(10 AS BIGINT) AS span_end, CAST(0.8 AS DOUBLE) AS confidence FROM customer
+        UNION ALL SELECT CAST(c_custkey AS BIGINT), 'NAME_STUDENT', 'Ona ' || {CNAME}, 14, 18 + length({CNAME}), CAST(0.7 AS DOUBLE) FROM customer""",
     "det_nothing": f"SELECT CAST(c_custkey AS BIGINT) AS key, CAST(0 AS BIGINT) AS spans, CAST({len(HARMLESS)} AS BIGINT) AS texts FROM customer",
     "propagate_customers": CALLED.sql(),
     "essay_bio": r"""SELECT key, 8 + n AS tokens, n AS inside, 'B-NAME_STUDENT' AS seventh FROM (SELECT CAST(c_custkey AS BIGINT) AS key, CAST(len(regexp_extract_all(c_name, '\w+|[^\w\s]')) AS BIGINT) AS n FROM customer)""",
