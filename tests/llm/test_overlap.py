@@ -204,3 +204,57 @@ def test_parity_rules_out_no_pair():
         b = np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3).astype(np.uint64)])
         apart = sum(bin(int(x)).count("1") for x in (overlap.parity(a) ^ overlap.parity(b)).view(np.uint64))
         assert apart <= len(np.setxor1d(a, b))
+
+
+def written(root):
+    import os
+
+    return sum(os.path.getsize(os.path.join(d, f)) for d, _, files in os.walk(root) for f in files)
+
+
+@pytest.mark.parametrize("limits", [{}, {"block": 2}, {"counted": 500}])
+def test_rounds_and_parts_lose_nothing(spark, limits, monkeypatch):
+    """Keys in many rounds and pairs in many parts, by limits far under what the records take: the same pairs as brute force."""
+    rows = make(30, 5) + [(1000 + i, "test", "real", r[3], None, None, None, None) for i, r in enumerate(make(30, 5)[:40])]
+    monkeypatch.setattr(overlap, "FILTERED", 0)
+    scratch, seen = Scratch(spark), []
+    stage = scratch.stage
+    monkeypatch.setattr(scratch, "stage", lambda df, what: (seen.append(what), stage(df, what))[1])
+    members, firsts, sets = overlap.class_rows(spark.createDataFrame(rows, SCHEMA).repartition(7), scratch, 3)
+    links = overlap.prefix_links(sets, firsts, 0.5, scratch, first_rows=200, round_bytes=15_000, share=0, **limits)
+    of = {}
+    for r in members.collect():
+        of.setdefault(r.cls, set()).add(r.document)
+    got = {(min(x, y), max(x, y)) for r in links.collect() for x in of[r.a] for y in of[r.b]}
+    own = {(x, y) for docs in of.values() for x in docs for y in docs if x < y}
+    assert got | own == truth(rows) and not got & own and links.count() == links.select("a", "b").distinct().count()
+    assert sum(s.startswith("near/") for s in seen) > 3 and sum(s.startswith("links/") for s in seen) > 2
+    scratch.drop()
+
+
+def test_near_duplicates_take_bounded_disk(spark, monkeypatch):
+    """Sets are written once and never shuffled whole, and shuffle files go with their query: whenever a table has been written, there is
+    less than 1.5 times the sets on disk."""
+    rng = random.Random(6)
+    rows = [(i, "train", "real", " ".join(f"w{int(rng.paretovariate(0.5)) % 20000}" for _ in range(120)), None, None, None, None) for i in range(4000)]
+    sets = 8 * sum(len(shingles(r[3])) for r in rows)
+    local = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    df = spark.createDataFrame(rows, SCHEMA).repartition(4).cache()
+    df.count()
+    scratch, most, before = Scratch(spark), [0], sum(map(written, local))
+    stage = scratch.stage
+
+    def watched(df, what):
+        out = stage(df, what)
+        most[0] = max(most[0], written(scratch.root.removeprefix("file://")) + sum(map(written, local)) - before)
+        return out
+
+    monkeypatch.setattr(scratch, "stage", watched)
+    monkeypatch.setattr(neardup, "Scratch", lambda session: scratch)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1k")
+    try:
+        assert neardup.near_duplicate_pairs(df).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        df.unpersist()
+    assert 0.5 * sets < most[0] < 1.5 * sets, most[0] / sets
